@@ -42,3 +42,28 @@ def near_classes(rows):
             p, q = find(a), find(b)
             root[max(p, q)] = min(p, q)
     return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_secrets(text):
+    """Sorted (start, rank, end) of the three fixed kinds."""
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def window_entropy(s, alphabet, least, width=20):
+    """(first, last) start of the windows with enough Shannon entropy."""
+    from collections import Counter
+    from math import log2
+
+    hits = []
+    for i in range(len(s) - width + 1):
+        c = Counter(s[i : i + width])
+        if -sum(n / width * log2(n / width) for n in c.values()) >= least - 1e-12:
+            hits.append(i)
+    return (hits[0], hits[-1]) if hits else (-1, -1)
