@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import minhash, secrets
+from codequarry.llm import fingerprints, minhash, secrets
 from codequarry.tables import table
 
 
@@ -16,8 +16,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op9_secret_scan": op9_secret_scan,
 }
 ORACLE: dict[str, str] = {}

@@ -67,3 +67,41 @@ def window_entropy(s, alphabet, least, width=20):
         if -sum(n / width * log2(n / width) for n in c.values()) >= least - 1e-12:
             hits.append(i)
     return (hits[0], hits[-1]) if hits else (-1, -1)
+
+
+def _xx(value, seed):
+    """Spark's xxhash64 of one bigint, chained by seed."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(int(value).to_bytes(8, "little", signed=True), seed)
+
+
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def order_minhash(text, k=2, slots=64):
+    """The fingerprint by definition: for each slot the two least hashes of
+    (k-mer, occurrence) on the ring from the slot's start, in text order."""
+    import xxhash
+
+    w = [_signed(xxhash.xxh64_intdigest(x, 42)) for x in WORD.findall((text or "").encode())]
+    if not w:
+        return ""
+    grams = w if len(w) < k else [_signed(_xx(w[i + 1], _xx(w[i], 42))) for i in range(len(w) - 1)]
+    seen, ys = defaultdict(int), []
+    for i, g in enumerate(grams):
+        occ = seen[g]
+        seen[g] += 1
+        # occurrence numbers are 32-bit integers
+        ys.append((_signed(xxhash.xxh64_intdigest(occ.to_bytes(4, "little"), _xx(g, 42))), i))
+    out = []
+    for f in range(slots):
+        start = f * (1 << 64) // slots
+        best = sorted(ys, key=lambda y: ((y[0] + (1 << 63)) - start) % (1 << 64))[:2]
+        if len(best) < 2:
+            best = best * 2
+        a, b = sorted(best, key=lambda y: y[1])
+        h = _xx(b[0], _xx(a[0], 42))
+        out.append(f"{h >> 32:08x}")
+    return "".join(out)
