@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import fingerprints, minhash, secrets
+from codequarry.llm import fingerprints, minhash, mixing, secrets
 from codequarry.tables import table
 
 
@@ -20,9 +20,14 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_source_mixing": op8_source_mixing,
     "op9_secret_scan": op9_secret_scan,
 }
 ORACLE: dict[str, str] = {}
