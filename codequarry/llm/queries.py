@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import fingerprints, minhash, mixing, secrets, tokencounts, toxicity, urlfilter, warc
+from codequarry.llm import decontam, fingerprints, minhash, mixing, secrets, tokencounts, toxicity, urlfilter, warc
 from codequarry.tables import table
 
 
@@ -42,6 +42,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_url_filter": op3_url_filter,
@@ -51,5 +55,6 @@ QUERIES = {
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_source_mixing": op8_source_mixing,
     "op9_secret_scan": op9_secret_scan,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE: dict[str, str] = {}

@@ -91,7 +91,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.cuts[None, :], -40, 40)))
 
 
-def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, length: np.ndarray, grade: np.ndarray, n_features: int, rounds: int = 600, decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, length: np.ndarray, grade: np.ndarray, n_features: int, rounds: int = 2000, decay: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and cuts of the ordinal model by gradient descent (Adam)."""
     n, k = len(grade), GRADES - 1
     w = np.zeros(n_features + 1)
@@ -116,7 +116,7 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, length: np.ndar
         d_theta = np.array([d_cut.sum(), *(d_cut[c:].sum() * np.exp(theta[c]) for c in range(1, k))])
         g = np.concatenate([np.append(np.bincount(feature, weights=d_score[row] * value, minlength=n_features), (d_score * (length - 5)).sum()) + decay * w, d_theta])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, theta = w - step[: len(w)], theta - step[len(w) :]
     return w, theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:]))])
 
