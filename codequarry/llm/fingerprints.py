@@ -90,7 +90,9 @@ def edited_likeness(docs: DataFrame, label: str = "fingerprint") -> DataFrame:
     sizes = scratch.save(docs.groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("x"))).alias("t")).select("doc_id", "t.n", "t.x"), "sizes")
     links = scratch.save(ring(sizes.select("doc_id", F.struct("n", "x").alias("size")), scratch, "size"), "links")
 
-    own = docs.join(links, "doc_id").where((F.length("text") == F.col("carry.n")) & (F.xxhash64("text") == F.col("carry.x")))
+    # Written as XORs, which Catalyst does not take for join keys: the texts
+    # stay partitioned by doc_id alone and are shuffled once.
+    own = docs.join(links, "doc_id").where("(length(text) ^ carry.n) = 0 and (xxhash64(text) ^ carry.x) = 0")
     heads = own.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, cast(prev_carry.n div 3 as int))").alias("head"))
     edited = own.join(heads, "doc_id").select(
         "doc_id", "next_id", "text", F.length("text").cast("bigint").alias("n_chars"),
