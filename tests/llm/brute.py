@@ -105,3 +105,22 @@ def order_minhash(text, k=2, slots=64):
         h = _xx(b[0], _xx(a[0], 42))
         out.append(f"{h >> 32:08x}")
     return "".join(out)
+
+
+def repeats(rows, length=200):
+    """doc -> (n_bytes, n_removed, n_spans, sha256 of the rest), by counting all windows."""
+    import hashlib
+    from collections import Counter
+
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    seen = Counter(hash(t[p : p + length]) for _, t in texts for p in range(len(t) - length + 1))
+    out = []
+    for i, t in texts:
+        gone = bytearray(len(t))
+        for p in range(len(t) - length + 1):
+            if seen[hash(t[p : p + length])] > 1:
+                gone[p : p + length] = b"\1" * length
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        rest = bytes(c for c, g in zip(t, gone) if not g)
+        out.append((i, len(t), sum(gone), spans, hashlib.sha256(rest).hexdigest()))
+    return out
