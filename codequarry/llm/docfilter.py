@@ -37,3 +37,13 @@ def prefilter(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFr
 def with_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """Exactly the rows of ``docs`` whose id is among ``ids`` (distinct)."""
     return prefilter(docs, ids, column).join(ids, column, "left_semi")
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows whose id is certainly not among ``ids``; the complement of
+    ``prefilter``.  Rows without an id are here."""
+    marks = F.broadcast(bitmap(ids, column))
+    slot = _slot(column)
+    miss = F.expr(f"bits is null or {column} is null or (bits & shiftleft(1L, cast(xxhash64(cast({column} as bigint)) & 63 as int))) = 0")
+    keyed = docs.withColumn("word", F.when(F.col(column).isNotNull(), F.shiftright(slot, 6)))
+    return keyed.join(marks, "word", "left").where(miss).select(*docs.columns)

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from codequarry.llm.components import components
-from codequarry.llm.docfilter import with_ids
+from codequarry.llm.docfilter import prefilter, with_ids, without
 from codequarry.llm.textkernel import mix, shingle_sets
 from codequarry.scratch import Scratch
 
@@ -154,8 +154,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, label: str = "minhash")
     another row has an id, and is never kept.  Repeated rows stay repeated and
     share a class; equal texts always share one.  Empty input, empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, label)
+    scratch = Scratch(docs.sparkSession, label)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = scratch.save(docs.mapInArrow(_describe, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "rows")
 
@@ -206,3 +205,22 @@ def _open_buckets(scratch: Scratch, shared: DataFrame, sets: DataFrame, found: D
     every = todo.select("key", F.col("rep").alias("id"), "component", from_zero("few").alias("i"), block("blocks").alias("j"), F.lit(1).alias("side"))
     cells = few.union(every).join(sets, "id")
     return scratch.save(cells.groupBy("key", "i", "j").applyInArrow(_cell(percent), "a bigint, b bigint"), "more")
+
+
+def keep_one(docs: DataFrame, percent: int = 75, label: str = "minhash") -> DataFrame:
+    """The rows of ``docs`` that stand for their class, with all their columns.
+
+    Of rows that repeat an id and a text one stays; rows without doc_id stay.
+    Rows whose id is certainly not to go are passed on where they lie; only the
+    others are shuffled and decided on exactly.
+    """
+    scratch = Scratch(docs.sparkSession, label)
+    judged = near_duplicates(docs, percent, label)
+    doubtful = judged.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay")).where("rows > 1 or stay = 0")
+    doubtful = scratch.save(doubtful.withColumnRenamed("doc_id", "id"), "doubtful")
+    packed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    ids = doubtful.select(F.col("id").alias("doc_id"))
+    order = W.partitionBy("doc_id", F.xxhash64("row.text")).orderBy(F.xxhash64("row"))
+    decided = prefilter(packed, ids).join(doubtful, F.col("doc_id") == F.col("id"), "left").where("rows is null or stay > 0")
+    decided = decided.withColumn("nth", F.when(F.col("rows") > 1, F.row_number().over(order)).otherwise(F.lit(1))).where("nth = 1")
+    return without(packed, ids).select("row.*").union(decided.select("row.*"))
