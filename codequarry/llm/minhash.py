@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from codequarry.llm.components import components
 from codequarry.llm.docfilter import prefilter, with_ids, without
-from codequarry.llm.textkernel import mix, shingle_sets
+from codequarry.llm.textkernel import lean, mix, shingle_sets
 from codequarry.scratch import Scratch
 
 WIDTH = 5
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, label: str = "minhash")
     """
     scratch = Scratch(docs.sparkSession, label)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = scratch.save(docs.mapInArrow(_describe, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "rows")
+    rows = scratch.save(docs.mapInArrow(lean(_describe), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "rows")
 
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"))
     members = scratch.save(classes.select("rep", F.explode("bands").alias("key")), "members")
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, label: str = "minhash")
     scratch.drop("members")
 
     ends = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.save(with_ids(docs, ends).mapInArrow(_sets, "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
+    sets = scratch.save(with_ids(docs, ends).mapInArrow(lean(_sets), "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
 
     pairs = shared.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")

@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from codequarry.llm.docfilter import prefilter
-from codequarry.llm.textkernel import Prefix, chunks
+from codequarry.llm.textkernel import Prefix, chunks, lean
 from codequarry.scratch import Scratch
 
 LENGTH = 200
 GRAM = 48
 WIDE = LENGTH - GRAM + 1
 HOT = 20_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 A_SCHEMA = "anchor bigint, key bigint, at int, n int, context bigint"
 
 
@@ -94,8 +94,11 @@ def enhanced_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     ``lcp[i]`` is that of the suffixes in places i - 1 and i (0 at the ends).
     """
     longest = int((ends - starts).max())
-    at = starts[:, None] + np.arange(longest)
-    matrix = np.where(at < ends[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+    wide = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(longest, np.uint8)), longest)
+    matrix = wide[starts]
+    for lo in range(0, len(starts), 16384):
+        part = slice(lo, lo + 16384)
+        matrix[part][np.arange(longest) >= (ends - starts)[part, None]] = 0
     order = np.argsort(matrix.view(f"S{longest}").ravel(), kind="stable")
     lcp = np.zeros(len(starts) + 1, np.int64)
     for lo in range(1, len(starts), 65536):
@@ -205,7 +208,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _candidates(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Repeated runs, their distinct contexts with weights, and the contexts
     that need a suffix array, with their bytes."""
-    every = scratch.save(keyed.select("key", "text").mapInArrow(_anchors, A_SCHEMA), "anchors")
+    every = scratch.save(keyed.select("key", "text").mapInArrow(lean(_anchors), A_SCHEMA), "anchors")
     twice = every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     runs = scratch.save(every.join(twice, "anchor", "left_semi"), "runs")
     scratch.drop("anchors")
@@ -232,7 +235,7 @@ def repeated_spans(docs: DataFrame, label: str = "suffix", scratch: Scratch | No
     runs, contexts, loaded = _candidates(_keyed(docs), scratch)
     equal = runs.join(contexts.where("weight > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("key", F.col("at").alias("start"), F.expr(f"at + n + {LENGTH - 1}").alias("end"))
     sorted_ = _sharded(loaded).groupBy("shard").applyInArrow(_shard, "key bigint, start int, end int")
-    spread = scratch.save(loaded.where(F.col("kinds") > HOT).select("key", "at", "weight", "bytes").mapInArrow(_windows, "content bigint, weight bigint, key bigint, start int"), "windows")
+    spread = scratch.save(loaded.where(F.col("kinds") > HOT).select("key", "at", "weight", "bytes").mapInArrow(lean(_windows), "content bigint, weight bigint, key bigint, start int"), "windows")
     often = spread.groupBy("content").agg(F.sum("weight").alias("times")).where("times > 1").select("content")
     hot = spread.where("weight = 1").join(often, "content", "left_semi").select("key", "start", (F.col("start") + LENGTH).alias("end"))
     return equal.union(sorted_).union(hot)
@@ -287,6 +290,6 @@ def remove_repeats(docs: DataFrame, label: str = "suffix") -> DataFrame:
     spans = scratch.save(pieces.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans")
     keyed = _keyed(docs)
     hit = prefilter(keyed, spans, "key").join(spans, "key").select("doc_id", "text", "starts", "ends")
-    changed = hit.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    changed = hit.mapInArrow(lean(_cut), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     rest = keyed.select("doc_id", "key", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256")).join(spans.select("key"), "key", "left_anti")
     return changed.union(rest.select("doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), "kept_sha256"))

@@ -2,19 +2,20 @@
 
 Texts of a record batch lie back to back in one Arrow buffer.  A prefix sum of
 ``R[byte] * B**i`` modulo 2**64 gives the hash of any substring by two look-ups,
-since an odd ``B`` has an inverse.  Work is done in chunks of about a megabyte,
+since an odd ``B`` has an inverse.  Work is done in chunks of a quarter megabyte,
 so that memory stays bounded whatever the batch holds (one text is the least).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INV = _U(pow(int(_BASE), -1, 1 << 64))
@@ -50,6 +51,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The batch function ``run``, giving freed memory back when a task ends, so
+    that idle Python workers do not hold what the JVM could use."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 @dataclass
 class Chunk:
     """Consecutive texts of a batch: rows ``first`` on, bytes, and borders."""
