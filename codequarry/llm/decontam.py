@@ -139,6 +139,16 @@ def distance(pattern: np.ndarray, region: np.ndarray, most: int, shift: int) ->
     return int(cost[best]), int(max(start[best], 0)), int(ends[best])
 
 
+def verbatim(pattern: np.ndarray, region: np.ndarray) -> tuple[int, int, int] | None:
+    """The place of ``pattern`` in ``region`` without any edit: such a region
+    needs no alignment."""
+    data, at = region.tobytes(), -1
+    while (at := data.find(pattern.tobytes(), at + 1)) >= 0:
+        if at % 4 == 0:
+            return 0, at // 4, at // 4 + len(pattern)
+    return None
+
+
 def search(index: Index, have: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, window, edits, start, end) of every window found."""
     parts = [code_points(t) for t in texts]
@@ -176,16 +186,16 @@ def search(index: Index, have: np.ndarray, texts: list[str]) -> Iterator[tuple[i
     found: dict[tuple[int, int, int], None] = {}
     for half in (0, 1):  # bands of 2 * width, overlapping by one half
         band = (start + half * width + WINDOW) // (2 * width)
-        key = np.stack([text, window, band], axis=1)
-        distinct, back, count = np.unique(key, axis=0, return_inverse=True, return_counts=True)
-        for k in np.flatnonzero(count >= index.need[distinct[:, 1]]):
-            t, w, b = (int(v) for v in distinct[k])
+        bands = int(band.max()) + 1
+        distinct, count = np.unique((text * len(index.windows) + window) * bands + band, return_counts=True)
+        for k in distinct[count >= index.need[distinct // bands % len(index.windows)]].tolist():
+            t, w, b = k // bands // len(index.windows), k // bands % len(index.windows), k % bands
             found[t, w, b * 2 * width - half * width - WINDOW] = None
     for t, w, low in found:
         e, m = int(index.edits[w]), len(index.windows[w])
         begin = max(low - e, int(offsets[t]))
         region = points[begin : min(low + 2 * width + m + e, int(offsets[t + 1]))]
-        best = distance(index.windows[w], region, e, max(len(region) - m, 0))
+        best = verbatim(index.windows[w], region) or distance(index.windows[w], region, e, max(len(region) - m, 0))
         if best:
             yield t, w, best[0], begin - int(offsets[t]) + best[1], begin - int(offsets[t]) + best[2]
 
