@@ -11,6 +11,7 @@ most the one word that the prefix cuts is looked at.
 from __future__ import annotations
 
 import bisect
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 CACHE = 400_000
+#: Bytes of texts whose words are learned at once.
+AT_ONCE = 1 << 20
+#: Closing punctuation that stands alone after a letter or digit.
+TAIL = b".,;:!?%&#*$"
 #: ASCII white space, where texts are cut into words.
 SPACE = b" \t\n\r\x0b\x0c"
 
@@ -28,29 +33,58 @@ class Counter:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.counts: dict[bytes, int] = {}
 
-    def learn(self, words) -> None:
-        """Count words not seen yet; the store is bounded and starts anew when full."""
-        new = [w for w in words if w not in self.counts]
+    def learn(self, words: set[bytes]) -> None:
+        """Count words not seen yet; the store is bounded and starts anew when full.
+
+        A letter or digit and closing punctuation never share a token, so a
+        word with a tail costs nothing if its stem and tail are known.
+        """
+        new = words.difference(self.counts)
         if not new:
             return
-        if len(self.counts) + len(new) > CACHE:
+        if len(self.counts) + 2 * len(new) > CACHE:
             self.counts.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+            new = words
+        split = {}
+        for w in new:
+            stem = w.rstrip(TAIL)
+            if len(stem) < len(w) and stem and stem[-1:].isalnum():
+                split[w] = (stem, w[len(stem) :])
+        todo = [w for w in {*new.difference(split), *(x for pair in split.values() for x in pair)} if w not in self.counts]
+        for at in range(0, len(todo), 8192):
+            part = todo[at : at + 8192]
             for w, e in zip(part, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 self.counts[w] = len(e)
+        for w, (stem, tail) in split.items():
+            self.counts[w] = self.counts[stem] + self.counts[tail]
+
+    def each(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """For each text the counts of its words, in order.
+
+        New words are learned for many texts at once.  Letter case does not
+        matter to the tokenizer but inside special strings.
+        """
+        at = 0
+        while at < len(texts):
+            split, size = [], 0
+            while at < len(texts) and (size < AT_ONCE or not split):
+                text = texts[at]
+                split.append((text if b"<|" in text else text.lower()).split())
+                size += len(text)
+                at += 1
+            self.learn(set().union(*split))
+            for words in split:
+                yield np.fromiter(map(self.counts.__getitem__, words), np.int64, len(words))
 
     def of(self, text: bytes) -> np.ndarray:
-        """Counts of the text's words, in order."""
-        words = text.split()
-        self.learn(set(words))
-        return np.fromiter(map(self.counts.__getitem__, words), np.int64, len(words))
+        """Counts of one text's words."""
+        return next(self.each([text]))
 
 
 _counters: dict[str, Counter] = {}
@@ -122,7 +156,7 @@ def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 texts = list(_texts(part.column("text")))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([borders(t) for t in texts], pa.list_(pa.int64())), pa.array([np.cumsum(tokens.of(t)) for t in texts], pa.list_(pa.int64()))],
+                    [part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([borders(t) for t in texts], pa.list_(pa.int64())), pa.array([np.cumsum(c) for c in tokens.each(texts)], pa.list_(pa.int64()))],
                     ["doc_id", "n_bytes", "ends", "counts"],
                 )
 
@@ -139,10 +173,11 @@ def count(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(path)
         for batch in batches:
-            sizes, totals = [], []
-            for text in _texts(batch.column("text")):
-                table = np.cumsum(tokens.of(text))
-                sizes.append(len(text))
+            totals = []
+            texts = list(_texts(batch.column("text")))
+            sizes = list(map(len, texts))
+            for counts in tokens.each(texts):
+                table = np.cumsum(counts)
                 totals.append(int(table[-1]) if len(table) else 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
