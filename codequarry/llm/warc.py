@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from codequarry.llm.docfilter import prefilter, without
 from codequarry.scratch import Scratch
 
 V1_FIELDS = ("url", "ip", "date", "type", "length")
@@ -159,19 +160,24 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
+def write_archives(pages: DataFrame, path: str, scratch: Scratch) -> None:
     """Convert ``pages`` and write WARC files below ``path``.
 
     Files are plain WARC with at most ``PER_FILE`` records, so each is read by
     one task in bounded memory (one record is the least).
     """
-    rows = pages.select("page_id", "url", "html").withColumn("digest", F.sha2(F.encode(F.coalesce("html", F.lit("")), "utf-8"), 256)).withColumn("size", F.octet_length(F.coalesce("html", F.lit(""))))
-    same = rows.where((F.col("size") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    repeat = (F.col("first").isNotNull()) & (F.col("page_id") != F.col("first")) & (F.col("size") >= LEAST_REVISIT)
-    dealt = rows.join(same, "digest", "left").select(
-        "page_id", "url", "html", "digest",
-        F.when(repeat, "revisit").otherwise("response").alias("kind"), F.when(repeat, F.col("first")).alias("refers_to"),
-    )
+    text = F.coalesce("html", F.lit(""))
+    facts = [F.sha2(F.encode(text, "utf-8"), 256).alias("digest"), F.octet_length(text).alias("size")]
+    long = pages.select(F.col("page_id").cast("bigint").alias("page_id"), *facts).where(F.col("page_id").isNotNull() & (F.col("size") >= LEAST_REVISIT)).select("page_id", "digest")
+    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # only digests and ids are shuffled; the pages of revisits are looked up
+    revisits = scratch.save(long.join(first, "digest").where("page_id <> first").distinct(), "revisits")
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
+    ids = revisits.select("page_id")
+    plain = without(rows, ids, "page_id").select("*", facts[0], F.lit("response").alias("kind"), F.lit(None).cast("bigint").alias("refers_to"))
+    other = prefilter(rows, ids, "page_id").select("*", facts[0]).join(revisits, ["page_id", "digest"], "left")
+    other = other.select("page_id", "url", "html", "digest", F.when(F.col("first").isNotNull(), "revisit").otherwise("response").alias("kind"), F.col("first").alias("refers_to"))
+    dealt = plain.union(other)
     dealt.mapInArrow(_convert, "value string").write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).text(path)
 
 
@@ -195,5 +201,5 @@ def round_trip(pages: DataFrame, label: str = "warc") -> DataFrame:
     """
     scratch = Scratch(pages.sparkSession, label)
     path = f"{scratch.root}/archives"
-    write_archives(pages, path)
+    write_archives(pages, path, scratch)
     return read_archives(pages.sparkSession, path)
