@@ -7,6 +7,7 @@ that already carries those, as an Arrow UDF.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 FNV_OFFSET = 0x6C62272E07BB014262B821756295C58D
@@ -35,8 +36,6 @@ def fnv_id(domain: str, parts: list[str]) -> str:
 
 
 def fnv128(text: Column, domain: str = "content") -> Column:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else fnv1a_128(domain.encode() + b"\0" + v.encode()))
@@ -54,7 +53,7 @@ def vector_rowid(point_id: Column) -> Column:
     """The first 16 hex digits as a positive 63-bit integer, at least 1."""
     head = F.substring(F.regexp_replace(point_id, "-", ""), 1, 16)
     value = F.conv(head, 16, 10).cast("decimal(20,0)")
-    low = F.pmod(value, F.lit(9223372036854775808).cast("decimal(20,0)"))
+    low = F.pmod(value, F.lit("9223372036854775808").cast("decimal(20,0)"))
     return F.greatest(low.cast("bigint"), F.lit(1).cast("bigint"))
 
 

@@ -45,7 +45,7 @@ TABLES: dict[str, T.StructType] = {
 TABLES["vector_points"] = T.StructType(
     [
         *_table(f"vector_store:s vector_table:s vector_rowid:l vector_point_id:s repository_id:s file_id:s chunk_id:s symbol_id:s? path:s language:s chunk_kind:s symbol_name:s? content_hash:s text_hash:s start_line:l end_line:l embedding_model:s embedding_dimension:l semantic_layer:s generation_id:s? embedded_at:t?").fields,
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False), False),
+        T.StructField("embedding", T.ArrayType(T.FloatType()), False),
     ]
 )
 

@@ -13,6 +13,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 BATCH = 16
@@ -72,8 +73,6 @@ def dimension(embed: Callable[[list[str]], list[list[float]]]) -> int:
 
 def with_embedding(df: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]] = hashed, out: str = "embedding") -> DataFrame:
     """Add the vectors of a text column, a batch of rows at a time."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:

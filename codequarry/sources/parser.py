@@ -280,7 +280,7 @@ class Source:
 
     def references(self) -> None:
         shapes = {
-            "rust": (("import", r"\b(?:pub\s+)?use\s+[^;]+;"), ("attribute", r"#!?\[([^\]]*)\]"), ("implementation", r"\bimpl\b(?:<[^>]*>)?\s*([\w:]+)"), ("type_reference", r"(?:->|:)\s*&?(?:'\w+\s+)?(?:mut\s+)?((?:\w+::)*[A-Z]\w*)")),
+            "rust": (("import", r"\b(?:pub\s+)?use\s+[^;]+;"), ("attribute", r"#!?\[([^\]]*)\]"), ("implementation", r"\bimpl\b(?:<[^>]*>)?\s*([\w:]+)"), ("type_reference", r"(?:->|(?<!:):(?!:))\s*&?(?:'\w+\s+)?(?:mut\s+)?((?:\w+::)*[A-Z]\w*)")),
             "csharp": (("import", r"(?m)^\s*using\s+(?:static\s+)?[\w.]+\s*;"), ("attribute", r"(?m)^\s*\[\s*([\w.]+)"), ("inheritance", r"\b(?:class|struct|interface|record)\s+\w+(?:<[^>]*>)?\s*:\s*([\w.<>, ]+)")),
         }.get(self.language, (("import", r"""(?m)^\s*import\b[^;\n]*"""), ("decorator", r"(?m)^\s*@([\w.]+)"), ("inheritance", r"\b(?:extends|implements)\s+([\w.]+)"), ("type_reference", r":\s*((?:\w+\.)*[A-Z]\w*)")))
         for kind, pattern in shapes:
