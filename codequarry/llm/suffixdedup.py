@@ -209,9 +209,12 @@ def _candidates(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     """Repeated runs, their distinct contexts with weights, and the contexts
     that need a suffix array, with their bytes."""
     every = scratch.save(keyed.select("key", "text").mapInArrow(lean(_anchors), A_SCHEMA), "anchors")
-    twice = every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # written, so that the join has a shuffle of its own on both sides and can
+    # split an anchor with very many occurrences
+    twice = scratch.save(every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "twice")
     runs = scratch.save(every.join(twice, "anchor", "left_semi"), "runs")
     scratch.drop("anchors")
+    scratch.drop("twice")
     contexts = runs.groupBy("anchor", "context", "n").agg(F.count("*").alias("weight"), F.min(F.struct("key", "at")).alias("one"))
     contexts = scratch.save(contexts.select("anchor", "context", "n", "weight", "one.key", "one.at"), "contexts")
     mixed = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("weight") == 1).alias("single")).where("kinds > 1 and single > 0").select("anchor", "kinds")
