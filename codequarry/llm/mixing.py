@@ -11,16 +11,22 @@ over many tasks and no source is gathered anywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codequarry.scratch import Scratch
 
 BLOCK = 32
 SHARD = 1_000_000
 MOST = 3
+SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _number(*parts: Column) -> Column:
+    """60 bits of the md5 of the parts, as a seeded draw that any engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("bigint")
+
+
 def apportion(df: DataFrame, by: list[str], key: str, weight: str, seats: str, out: str = "quota") -> DataFrame:
     """Deal ``seats`` (equal in all rows of a ``by`` group) by highest quotient.
 
@@ -31,12 +37,12 @@ def apportion(df: DataFrame, by: list[str], key: str, weight: str, seats: str, o
     are all 0 gets none.
     """
     group = W.partitionBy(*by)
-    base = df.withColumn("__sum", F.sum(weight).over(group)).withColumn("__exact", F.expr(f"case when __sum > 0 then {weight} * {seats} / __sum else 0D end"))
+    base = df.withColumn("__place", F.row_number().over(group.orderBy(F.col(key).asc_nulls_last()))).withColumn("__sum", F.sum(weight).over(group)).withColumn("__exact", F.expr(f"case when __sum > 0 then {weight} * {seats} / __sum else 0D end"))
     base = base.withColumn("__first", F.floor(F.col("__exact") + 0.5)).withColumn("__gap", F.when(F.col("__sum") > 0, F.col(seats) - F.sum("__first").over(group)).otherwise(F.lit(0)))
     chance = F.expr("cast(ceil(abs(__gap) * case when __sum > 0 then " + weight + " / __sum else 0D end) as bigint) + 2")
     tries = base.where("__gap <> 0").withColumn("__j", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.abs("__gap"), chance))))
     quotient = F.expr(f"case when __gap > 0 then -({weight}) / (2 * (__first + __j) - 1) when __first >= __j then ({weight}) / (2 * (__first - __j) + 1) end")
-    ranked = tries.withColumn("__q", quotient).where("__q is not null").withColumn("__rank", F.row_number().over(group.orderBy("__q", F.col(key).asc_nulls_last(), "__j")))
+    ranked = tries.withColumn("__q", quotient).where("__q is not null").withColumn("__rank", F.row_number().over(group.orderBy("__q", F.col("__place") * F.signum("__gap"), "__j")))
     names = {c: f"__k{n}" for n, c in enumerate((*by, key))}
     won = ranked.where("__rank <= abs(__gap)").groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.sum(F.signum("__gap")).cast("bigint").alias("__won"))
     same = F.lit(True)
@@ -64,7 +70,7 @@ def targets(sources: DataFrame) -> DataFrame:
     return tried.withColumn("level", level).select("source", "size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 17, label: str = "mixing") -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, label: str = "mixing") -> DataFrame:
     """Words taken from every document by the mix.
 
     Needs ``doc_id``, ``text`` and ``source``; other columns are not read.
@@ -75,7 +81,7 @@ def mix(docs: DataFrame, seed: int = 17, label: str = "mixing") -> DataFrame:
     the same mix, however the input is partitioned.
     """
     scratch = Scratch(docs.sparkSession, label)
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("spot"))
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), _number(F.lit(str(seed)), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("spot"))
     sized = scratch.save(sized, "sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("size")))
     whole = sources.withColumn("all", F.sum("target").over(W.partitionBy())).withColumn("seats", F.round(F.col("all") / BLOCK).cast("bigint")).withColumn("one", F.lit(1))
@@ -85,7 +91,7 @@ def mix(docs: DataFrame, seed: int = 17, label: str = "mixing") -> DataFrame:
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("seats"))
     plan = apportion(shards, ["source"], "shard", "words", "seats")
     plan = plan.select(F.col("source").alias("s"), F.col("shard").alias("h"), "words", F.least(F.col("quota") * BLOCK, F.col("words") * MOST).alias("take"))
-    plan = scratch.save(plan.withColumn("start", F.expr(f"case when words > 0 then pmod(xxhash64({seed}, s, h), ceil(words / {BLOCK})) * {BLOCK} else 0 end")), "plan")
+    plan = scratch.save(plan.withColumn("__draw", _number(F.lit(str(seed)), F.col("s"), F.col("h").cast("string"))).withColumn("start", F.expr(f"case when words > 0 then __draw % ceil(words / {BLOCK}) * {BLOCK} else 0 end")).drop("__draw"), "plan")
 
     run = W.partitionBy("source", "shard").orderBy("spot", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = dealt.withColumn("to", F.sum("size").over(run)).withColumn("at", F.col("to") - F.col("size"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import decontam, fingerprints, minhash, mixing, secrets, suffixdedup, tokencounts, toxicity, urlfilter, warc
+from codequarry.llm import decontam, fingerprints, minhash, mixing, oracles, secrets, suffixdedup, tokencounts, toxicity, urlfilter, warc
 from codequarry.tables import table
 
 
@@ -62,4 +62,4 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracles.ORACLE)
