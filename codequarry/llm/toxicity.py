@@ -28,6 +28,9 @@ BUCKETS = 1 << 22
 LEAST_Z = 5.0
 LEAST_ROWS = 3
 GRADES = 3
+#: Least probability of a grade above 0 that is called toxic: a toxic text let
+#: through costs more than a clean one lost.
+THRESHOLD = 0.3
 #: Bytes of words: letters, digits and all of UTF-8 beyond ASCII.
 _SOLID = np.zeros(256, dtype=bool)
 _SOLID[48:58] = _SOLID[65:91] = _SOLID[97:123] = _SOLID[128:] = True
@@ -172,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SA
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, severity (expected grade), grade (likeliest), toxic.
 
-    ``toxic``: a grade above 0 is at least as likely as not.  Null and empty
+    ``toxic``: a grade above 0 has at least the probability ``THRESHOLD``.  Null and empty
     texts have severity 0 and are not toxic.  Rows with a null or repeated
     doc_id are kept; other columns are not read.
     """
@@ -187,7 +190,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 each = np.concatenate([np.ones((n, 1)), p], axis=1) - np.concatenate([p, np.zeros((n, 1))], axis=1)
                 severity.append(p.sum(axis=1))
                 grade.append(each.argmax(axis=1))
-                toxic.append(p[:, 0] >= 0.5)
+                toxic.append(p[:, 0] >= THRESHOLD)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(severity)), pa.array(np.concatenate(grade)), pa.array(np.concatenate(toxic))], ["doc_id", "severity", "grade", "toxic"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, severity double, grade bigint, toxic boolean")
@@ -207,7 +210,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxicity") -> D
             keep = []
             for _, n, row, feature, value, length in model.vectors(batch.column("text")):
                 s = np.bincount(row, weights=model.weights[feature] * value, minlength=n) + model.weights[-1] * (length - 5)
-                keep.append((model.above(s)[:, 0] < 0.5) | (np.bincount(row, minlength=n) == 0))
+                keep.append((model.above(s)[:, 0] < THRESHOLD) | (np.bincount(row, minlength=n) == 0))
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
     return docs.mapInArrow(run, docs.schema)
