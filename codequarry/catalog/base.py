@@ -18,13 +18,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register the function under its name, with its SQL."""
+def query(sql: str | None = None, **types: str):
+    """Register the function under its name, with its SQL; ``types`` are columns
+    whose type in DuckDB is another than in Spark (sums, counts and literals)."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE[f.__name__] = sql
+            casts = ", ".join(f'"{c}"::{t} as "{c}"' for c, t in types.items())
+            ORACLE[f.__name__] = f"select * replace ({casts}) from ({sql})" if types else sql
         return f
 
     return add

@@ -94,7 +94,7 @@ def range_intersection(spark, sf):
 
 @query("""select source, count(*) as documents, count_if(l.doc_id is not null) as labelled, count_if(l.toxic = 1) as excluded, count_if(l.quality = 1) as backed,
  case when count_if(l.toxic = 1) = count(*) then 'excluded' when count_if(l.quality = 1) = 0 then 'metadata-only' when count(*) - count_if(l.toxic = 1) > count_if(l.quality = 1) then 'missing-vector' else 'covered' end as status
-from documents d left join labels l using (doc_id) group by source""")
+from documents d left join labels l using (doc_id) group by source""", labelled="bigint", excluded="bigint", backed="bigint")
 def coverage_by_file(spark, sf):
     d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
     fs = d.select(F.col("source").alias("id"), F.col("source").alias("path"), F.lit("en").alias("language")).distinct()
@@ -135,7 +135,7 @@ _STATUS_SQL = "case event_type when 'click' then 'succeeded' when 'view' then 's
 @query(f"""with j as (select user_id as generation_id, {_STATUS_SQL} as status from events)
 select generation_id, count_if(status = 'pending') as pending, count_if(status = 'running') as running, count_if(status = 'succeeded') as succeeded, count_if(status = 'failed') as failed, count(*) as total,
  case when count_if(status = 'failed') > 0 then 'quality_failed' when count_if(status in ('pending', 'running')) > 0 then 'quality_pending' else 'quality_ready' end as quality_status,
- case when count_if(status = 'failed') = 0 and count_if(status in ('pending', 'running')) = 0 then 'quality' else 'fast' end as active_layer from j group by 1""")
+ case when count_if(status = 'failed') = 0 and count_if(status in ('pending', 'running')) = 0 then 'quality' else 'fast' end as active_layer from j group by 1""", pending="bigint", running="bigint", succeeded="bigint", failed="bigint")
 def job_progress(spark, sf):
     e = table(spark, sf, "events")
     state = F.when(F.col("event_type").isin("click", "view"), "succeeded").when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "purchase", "running").otherwise("failed")

@@ -27,13 +27,13 @@ def _facts(spark):
 @query("""select * from (values ('src/main.rs', 'helper', 'crate::helper', 'function', 2, 2), ('src/main.rs', 'caller', 'crate::caller', 'function', 3, 3), ('src/main.rs', 'run', 'crate::Job::run', 'method', 6, 6), ('src/main.rs', 'covers_helper', 'crate::covers_helper', 'function', 9, 9),
  ('tests/Calc.cs', 'AddsNumbers', 'tests::Calc::Demo::CalculatorTests::AddsNumbers', 'method', 5, 5), ('tests/Calc.cs', 'Run', 'tests::Calc::Demo::CalculatorTests::Run', 'method', 6, 6),
  ('web/util.test.ts', 'helper', 'web::util.test::helper', 'function', 2, 2), ('web/util.test.ts', 'typed', 'web::util.test::typed', 'function', 3, 3), ('src/secret.rs', 'key', 'crate::secret::key', 'function', 1, 3), ('src/secret.rs', 'safe', 'crate::secret::safe', 'function', 4, 4))
- v(path, name, qualified_name, kind, start_line, end_line)""")
+ v(path, name, qualified_name, kind, start_line, end_line)""", start_line="bigint", end_line="bigint")
 def parsed_symbols(spark, sf):
     return _facts(spark)[1]["symbols"].select("path", "name", "qualified_name", "kind", "start_line", "end_line")
 
 
 @query("""select * from (values ('crate::caller', 'helper', 3, 'resolved_exact'), ('crate::caller', 'external::thing', 3, 'unresolved'), ('crate::Job::run', 'helper', 6, 'resolved_exact'), ('crate::Job::run', 'println!', 6, 'unresolved'), ('crate::covers_helper', 'helper', 9, 'resolved_exact'),
- ('tests::Calc::Demo::CalculatorTests::AddsNumbers', 'Run', 5, 'resolved_exact'), ('web::util.test::typed', 'helper', 3, 'resolved_exact')) v(caller_name, callee_text, call_line, resolution_status)""")
+ ('tests::Calc::Demo::CalculatorTests::AddsNumbers', 'Run', 5, 'resolved_exact'), ('web::util.test::typed', 'helper', 3, 'resolved_exact')) v(caller_name, callee_text, call_line, resolution_status)""", call_line="bigint")
 def parsed_calls(spark, sf):
     facts = _facts(spark)[1]
     rows = resolve.callees(facts["calls"].withColumnRenamed("id", "call_id"), facts["symbols"])
@@ -45,7 +45,7 @@ def parsed_tests(spark, sf):
     return _facts(spark)[1]["tests"].select("name", "framework", F.col("symbol_id").isNotNull().alias("linked"))
 
 
-@query("""select * from (values ('function', null, 7), ('method', null, 3), ('type_definition', null, 1), ('impl_summary', null, 1), ('file_fallback', null, 1), ('function', 'likely_credential_assignment', 1)) v(kind, excluded_reason, n)""".replace("('function', null, 7)", "('function', null, 6)"))
+@query("""select * from (values ('function', null, 7), ('method', null, 3), ('type_definition', null, 1), ('impl_summary', null, 1), ('file_fallback', null, 1), ('function', 'likely_credential_assignment', 1)) v(kind, excluded_reason, n)""".replace("('function', null, 7)", "('function', null, 6)"), n="bigint")
 def parsed_chunks(spark, sf):
     return _facts(spark)[1]["chunks"].groupBy("kind", "excluded_reason").agg(F.count("*").alias("n"))
 
@@ -71,7 +71,7 @@ def discovered_paths(spark, sf):
 _TARGET_JSON = '[{"path": "src/a.rs", "start_line": 1, "end_line": 2, "description": "x"}, {"path": "src\\\\b.rs", "start_line": 5, "end_line": 5, "description": "y"}]'
 
 
-@query("select * from (values (0, 'src/a.rs', 1, 2, 'x'), (1, 'src/b.rs', 5, 5, 'y')) v(ordinal, path, start_line, end_line, description)")
+@query("select * from (values (0, 'src/a.rs', 1, 2, 'x'), (1, 'src/b.rs', 5, 5, 'y')) v(ordinal, path, start_line, end_line, description)", start_line="bigint", end_line="bigint")
 def change_targets(spark, sf):
     return targets.read_targets(spark, _TARGET_JSON)
 
@@ -90,19 +90,19 @@ def _graph(spark):
 
 
 @query("""select * from (values (0, 'fresh', 'crate::fresh', 1, 1.0, 'high', true), (1, 'stale', 'crate::stale', 0, 0.84, 'medium', true), (2, 'deleted', 'crate::deleted', 0, 0.74, 'medium', true), (3, 'unknown', null, 0, 0.41, 'low', false))
- v(ordinal, freshness, symbol_name, calls_at_line, trust_score, trust_level, matched)""")
+ v(ordinal, freshness, symbol_name, calls_at_line, trust_score, trust_level, matched)""", ordinal="bigint", calls_at_line="bigint", trust_score="double")
 def debug_context(spark, sf):
     logs = spark.createDataFrame([("a", _LOG)], "log_id string, text string")
     return context.debug(logs, "/work/repo", *_graph(spark))["frames"].select("ordinal", "freshness", "symbol_name", "calls_at_line", "trust_score", "trust_level", "matched")
 
 
-@query("select * from (values ('call-fresh-callee', 'fresh', 1.0, 'high'), ('call-test-callee', 'deleted', 0.74, 'medium')) v(call_id, freshness, trust_score, trust_level)")
+@query("select * from (values ('call-fresh-callee', 'fresh', 1.0, 'high'), ('call-test-callee', 'deleted', 0.74, 'medium')) v(call_id, freshness, trust_score, trust_level)", trust_score="double")
 def impact_callers(spark, sf):
     f, s, e, now = _graph(spark)
     return imp.impact(search.exact(s, "callee"), e, now)["callers"].select("call_id", "freshness", "trust_score", "trust_level")
 
 
-@query("select * from (values ('src/callee.rs', 2), ('src/fresh.rs', 2), ('src/fresh_tests.rs', 2)) v(path, relationship_count)".replace("('src/callee.rs', 2)", "('src/callee.rs', 2)"))
+@query("select * from (values ('src/callee.rs', 2), ('src/fresh.rs', 2), ('src/fresh_tests.rs', 2)) v(path, relationship_count)".replace("('src/callee.rs', 2)", "('src/callee.rs', 2)"), relationship_count="bigint")
 def impact_files(spark, sf):
     f, s, e, now = _graph(spark)
     return imp.impact(search.exact(s, "callee"), e, now)["files"].select("path", "relationship_count")
@@ -121,7 +121,7 @@ def failing_test_map(spark, sf):
     return search.map_failing_tests(spark.createDataFrame([("a::b::works",), ("works",), ("gone",)], "test string"), t)
 
 
-@query("select * from (values ('a', 0, 2), ('b', 1, 1), ('c', 1, 0), ('d', 2, 0), ('e', 0, 0)) v(id, depth, child_count)")
+@query("select * from (values ('a', 0, 2), ('b', 1, 1), ('c', 1, 0), ('d', 2, 0), ('e', 0, 0)) v(id, depth, child_count)", child_count="bigint")
 def symbol_outline(spark, sf):
     rows = [("a", None), ("b", "a"), ("c", "a"), ("d", "b"), ("e", None)]
     return search.outline(spark.createDataFrame(rows, "id string, parent_symbol_id string"), 4).select("id", "depth", "child_count")
@@ -138,7 +138,7 @@ def _chunks(spark, sf):
 _CHUNKS = "d as (select * from documents left join labels using (doc_id))"
 
 
-@query(f"with {_CHUNKS}, r as (select o_orderpriority as embedding_model, o_custkey as embedding_dimension from orders where o_orderstatus = 'F' order by o_orderdate desc, o_orderkey desc limit 1) select count(*) as chunks, count_if(coalesce(toxic, 0) = 0) as embeddable, count_if(toxic = 1) as excluded, count_if(quality = 1) as vector_backed, count_if(coalesce(toxic, 0) = 0 and coalesce(quality, 0) = 0) as missing, any_value(embedding_model) as embedding_model, any_value(embedding_dimension) as embedding_dimension from d, r")
+@query(f"with {_CHUNKS}, r as (select o_orderpriority as embedding_model, o_custkey as embedding_dimension from orders where o_orderstatus = 'F' order by o_orderdate desc, o_orderkey desc limit 1) select count(*) as chunks, count_if(coalesce(toxic, 0) = 0) as embeddable, count_if(toxic = 1) as excluded, count_if(quality = 1) as vector_backed, count_if(coalesce(toxic, 0) = 0 and coalesce(quality, 0) = 0) as missing, any_value(embedding_model) as embedding_model, any_value(embedding_dimension) as embedding_dimension from d, r", embeddable="bigint", excluded="bigint", vector_backed="bigint", missing="bigint")
 def embedding_coverage(spark, sf):
     runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "success").alias("status"), F.col("o_orderpriority").alias("embedding_model"), F.col("o_custkey").alias("embedding_dimension"), F.col("o_orderdate").alias("started_at"))
     return summaries.embedding_coverage(*_chunks(spark, sf), runs)
@@ -152,7 +152,7 @@ def cross_store_health(spark, sf):
 
 
 @query(f"""with {_CHUNKS}, e as (select case when lang = 'en' then 'fast' else 'quality' end as semantic_layer, quality from d where quality is not null), w as (select * from (values ('fast', 100), ('quality', 1000000)) v(semantic_layer, expected))
-select semantic_layer, expected, count_if(quality = 1) as current, count_if(quality = 0) as stale, count(*) as total, count_if(quality = 1) >= expected as is_complete from w join e using (semantic_layer) group by 1, 2""")
+select semantic_layer, expected, count_if(quality = 1) as current, count_if(quality = 0) as stale, count(*) as total, count_if(quality = 1) >= expected as is_complete from w join e using (semantic_layer) group by 1, 2""", expected="bigint", current="bigint", stale="bigint")
 def layer_summary(spark, sf):
     want = spark.createDataFrame([("fast", 100), ("quality", 1000000)], "semantic_layer string, expected bigint")
     return summaries.layers(_chunks(spark, sf)[1], want).select("semantic_layer", "expected", "current", "stale", "total", "is_complete")

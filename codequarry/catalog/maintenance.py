@@ -45,7 +45,7 @@ def knn_ref_filtered(spark, sf):
 
 @query("""with e as (select label, 1 + vec_id % 5 as w, unnest(embedding::double[]) as v, generate_subscripts(embedding, 1) as i from embeddings),
 m as (select label, i, sum(v * w) / sum(w) as v from e group by 1, 2), n as (select label, sqrt(sum(v * v)) as len from m group by 1)
-select label, i - 1 as place, round(v / len, 6) as value from m join n using (label)""")
+select label, i - 1 as place, round(v / len, 6) as value from m join n using (label)""", place="int")
 def weighted_mean_vector(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("w", 1 + F.col("vec_id") % 5)
     return vec.weighted_mean(e, "label", "embedding", "w").select("label", F.posexplode("mean").alias("place", "v")).select("label", "place", F.round("v", 6).alias("value"))
@@ -237,7 +237,7 @@ _LOG = "test tests::fails ... FAILED\nthread 'x' panicked at src/lib.rs:12:5:\ns
 
 
 @query("""select * from (values (0, null, 'src/lib.rs', 12, 5), (1, 'crate::module::run', 'src/lib.rs', 12, 5), (2, 'crate::lonely::frame', null, null, null), (3, '<crate::W as crate::J>::poll', null, null, null), (4, 'Example.Service.Run', 'src/Program.cs', 42, null),
- (5, 'handleRequest', '/repo/web/app.js', 12, 3), (6, 'Object.load', '/repo/web/app.js', 22, 9), (7, 'crate::w', 'src/w.rs', 52, 7)) v(ordinal, symbol, path, line, "column")""")
+ (5, 'handleRequest', '/repo/web/app.js', 12, 3), (6, 'Object.load', '/repo/web/app.js', 22, 9), (7, 'crate::w', 'src/w.rs', 52, 7)) v(ordinal, symbol, path, line, "column")""", ordinal="bigint", line="bigint", column="bigint")
 def runtime_frames(spark, sf):
     logs = spark.createDataFrame([("a", _LOG)], "log_id string, text string")
     return runtime_log.frame_rows(runtime_log.lines(logs)).select("ordinal", "symbol", "path", "line", "column")
@@ -292,7 +292,7 @@ def unreferenced_files(spark, sf):
 
 
 # streams as batches -------------------------------------------------------------------
-@query("""with g as (select user_id, epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts) as gap from events) select user_id, count_if(gap > 3600) + 1 as leases, round(max(gap), 3) as longest_gap from g group by 1""")
+@query("""with g as (select user_id, epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts) as gap from events) select user_id, count_if(gap > 3600) + 1 as leases, round(max(gap), 3) as longest_gap from g group by 1""", leases="bigint")
 def lease_gaps(spark, sf):
     return state.lease_gaps(table(spark, sf, "events"), "user_id", "ts", 3600.0).select("user_id", "leases", F.round("longest_gap", 3).alias("longest_gap"))
 
@@ -345,7 +345,7 @@ def document_segments(spark, sf):
     return tokens.segment_table(table(spark, sf, "documents").select("doc_id", "text"), "text", 512).select("doc_id", "segment_index", "segment_tokens", F.md5("segment").alias("segment_hash"))
 
 
-@query("select count(*) as n_orders, max(running) as deepest from (select o_custkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as running from orders)")
+@query("select count(*) as n_orders, max(running) as deepest from (select o_custkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as running from orders)", deepest="int")
 def frame_ordinals(spark, sf):
     over = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, sf, "orders").withColumn("running", F.row_number().over(over)).agg(F.count("*").alias("n_orders"), F.max("running").alias("deepest"))

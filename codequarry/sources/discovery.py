@@ -17,8 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from codequarry.functions import ids, status
 from codequarry.schema import EXTENSIONS
 
-# Directories that are never indexed.
-EXCLUDED = (".git", ".hg", ".svn", ".direnv", "target", "node_modules", "vendor", ".symdex", "qdrant_storage")
+# Directories that are never indexed (with our own).
+EXCLUDED = (".git", ".hg", ".svn", ".direnv", "target", "node_modules", "vendor", ".codequarry", "qdrant_storage")
 SCHEMA = "path string, language string, content string"
 
 
