@@ -23,6 +23,17 @@ def clamp(value: int | None, default: int, least: int = 1, most: int = 25) -> in
     return max(least, min(default if value is None else int(value), most))
 
 
+def inside_root(root: str, path: str) -> str:
+    """Path of an existing file relative to ``root``; ValueError if it lies
+    outside, through links or not."""
+    import os
+
+    base, real = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
+    if not os.path.exists(real) or os.path.commonpath([base, real]) != base:
+        raise ValueError(f"no such path inside the repository: {path}")
+    return os.path.relpath(real, base).replace(os.sep, "/")
+
+
 def parse(kind: str, value: str) -> str:
     """``value`` if it is in the vocabulary ``kind``; ValueError otherwise."""
     if value not in VOCABULARY[kind]:

@@ -115,6 +115,17 @@ def sync_refs(stored: DataFrame, found: DataFrame, now) -> DataFrame:
     ).withColumn("last_seen_at", F.when(F.col("__seen"), now).otherwise(F.col("last_seen_at"))).drop("__oid", "__current", "__seen")
 
 
+def link_files(ref_id: str, files: DataFrame, run_id: str | None = None) -> DataFrame:
+    """Rows of ref_files for the files of a ref."""
+    return files.select(F.lit(ref_id).alias("repository_ref_id"), "repository_id", "path", F.col("id").alias("file_id"), F.current_timestamp().alias("indexed_at"), F.lit(run_id).cast("string").alias("index_run_id"))
+
+
+def started_run(spark: SparkSession, run_id: str, repository_id: str, kind: str, parser_version: str, ref_id: str | None = None, model: str = "") -> DataFrame:
+    """A run row with status ``running``."""
+    row = spark.createDataFrame([(run_id, repository_id, ref_id, "running", model, kind, parser_version)], "id string, repository_id string, repository_ref_id string, status string, embedding_model string, run_kind string, parser_version string")
+    return row.withColumn("started_at", F.current_timestamp()).withColumns({c: F.lit(0).cast("bigint") for c in ("files_seen", "files_indexed", "chunks_embedded")})
+
+
 def finished_run(run: DataFrame, status: str, error=None, **counts: int) -> DataFrame:
     """A run row with its end; the error is shortened."""
     from codequarry.functions.paths import error_summary

@@ -10,11 +10,11 @@ from __future__ import annotations
 import inspect
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from codequarry.functions import status
-from codequarry.operators import freshness as fresh, graph, search, store as st, summaries, vectors
-from codequarry.plans import context, doctor, impact as imp, routing
+from codequarry.functions import ids, paths, status
+from codequarry.operators import freshness as fresh, graph, resolve, search, store as st, summaries, vectors
+from codequarry.plans import context, doctor, impact as imp, routing, semantic as sem
 from codequarry.sources import discovery, embedder, git, manifests, parser, runtime_log, targets
 
 
@@ -46,32 +46,92 @@ class Engine:
         return discovery.file_facts(discovery.read(self.spark, self.root), self.repository_id).select("path", "content_hash")
 
     # writes -----------------------------------------------------------------
-    def index(self, run_id: str, parser_version: str = "1") -> None:
-        """Discover, parse and resolve; changed files only; pointers flip last."""
+    def index(self, run_id: str, parser_version: str = "1", semantic: bool = False) -> dict[str, int]:
+        """Discover, parse, resolve and store; changed files only.
+
+        A run row is written first and ended last, ``failed`` with the error if
+        anything stops it; each table's pointer flips after its snapshot is
+        written.  With ``semantic`` the chunks are embedded, too.
+        """
+        run = st.started_run(self.spark, run_id, self.repository_id, "semantic" if semantic else "offline", parser_version, self.ref_id)
+        self.store.upsert("index_runs", run)
+        try:
+            counts = self._index(run_id, parser_version, semantic)
+        except Exception as e:
+            self.store.upsert("index_runs", st.finished_run(run, "failed", str(e)))
+            raise
+        self.store.upsert("index_runs", st.finished_run(run, "success", **counts))
+        return counts
+
+    def _index(self, run_id: str, parser_version: str, semantic: bool) -> dict[str, int]:
         found = discovery.read(self.spark, self.root)
         files = discovery.file_facts(found, self.repository_id)
-        old = self.table("files")
+        old = self.table("files").where(F.col("repository_id") == self.repository_id)
         skip = search.unchanged(files, old, parser_version).select("path")
         todo = found.join(skip, "path", "left_anti").join(files.select("path", "id", "content_hash", "repository_id"), "path")
         stamped = todo.select("id", "repository_id", "path", "language", "content_hash", F.current_timestamp().alias("indexed_at"), F.lit(run_id).alias("index_run_id"), F.lit(parser_version).alias("parser_version"))
-        new = parser.facts(parser.extract(todo), stamped.select("path", "id", "repository_id"), run_id, parser_version)
-        from codequarry.operators import resolve
+        records = parser.extract(todo)
+        new = parser.facts(records, stamped.select("path", "id", "repository_id"), run_id, parser_version)
+        gone = old.join(files.select("path"), "path", "left_anti").select(F.col("id").alias("file_id"))
+        changed = old.join(todo.select("path"), "path", "left_semi").select(F.col("id").alias("file_id"))
+        keep = lambda name, rows: st.replace_file_facts(self.table(name), rows, changed, gone)
+        stamp = lambda df: df.withColumn("index_run_id", F.lit(run_id)).withColumn("parser_version", F.lit(parser_version))
+
+        changes = fresh.diff(old.select("path", "content_hash"), files.select("path", "content_hash"))
+        events = fresh.file_events(changes, run_id, new["diagnostics"]).withColumn("repository_id", F.lit(self.repository_id)).withColumn("occurred_at", F.current_timestamp())
+        events = events.withColumn("id", ids.stable_id(F.col("index_run_id"), F.col("path"))).withColumn("repository_ref_id", F.lit(self.ref_id).cast("string"))
 
+        # names: first inside the file, then what is left across files
         symbols = new["symbols"]
-        resolved = resolve.callees(new["calls"].withColumnRenamed("id", "call_id"), symbols).withColumnRenamed("call_id", "id")
-        kept_paths = files.select("path")
-        gone = old.join(kept_paths, "path", "left_anti").select(F.col("id").alias("file_id"))
-        changed = old.join(todo.select("path"), "path", "left_semi").select(F.col("id").alias("file_id"))
-        deps = manifests.dependencies(todo.select(F.col("id").alias("file_id"), "path", "content"), self.repository_id).withColumn("index_run_id", F.lit(run_id)).withColumn("parser_version", F.lit(parser_version))
+        calls = resolve.callees(new["calls"].withColumnRenamed("id", "call_id"), symbols)
+        known = keep("symbols", symbols.drop("path")).select("id", "file_id", "name", "qualified_name")
+        rust = todo.where("language = 'rust'").select(F.col("id").alias("file_id"))
+        open_ = calls.where("resolution_status = 'unresolved'").join(rust, "file_id", "left_semi").select(*new["calls"].withColumnRenamed("id", "call_id").columns)
+        across = resolve.callees(open_, known, across_files=True)
+        calls = calls.join(across.select("call_id"), "call_id", "left_anti").unionByName(across).withColumnRenamed("call_id", "id")
+
+        refs = new["symbol_references"].withColumnRenamed("id", "reference_id")
+        around = resolve.containing(refs.select(F.col("reference_id").alias("node_id"), "file_id", "start_byte", "end_byte", "end_line"), symbols)
+        refs = resolve.references(refs, symbols).join(around.select(F.col("node_id").alias("reference_id"), F.col("symbol_id").alias("source_symbol_id")), "reference_id", "left").withColumnRenamed("reference_id", "id")
+        deps = stamp(manifests.dependencies(todo.select(F.col("id").alias("file_id"), "path", "content"), self.repository_id))
+
+        self.store.append("file_index_events", events)
         old_calls = self.table("calls").join(self.table("symbols").select(F.col("id").alias("caller_symbol_id"), "file_id"), "caller_symbol_id", "left")
-        writes = {
-            "calls": st.replace_file_facts(old_calls, resolved, changed, gone), "symbols": st.replace_file_facts(self.table("symbols"), symbols.drop("path"), changed, gone),
-            "chunks": st.replace_file_facts(self.table("chunks"), new["chunks"], changed, gone), "tests": st.replace_file_facts(self.table("tests"), new["tests"], changed, gone),
-            "dependencies": st.replace_file_facts(self.table("dependencies"), deps, changed, gone),
-            "files": st.replace_file_facts(old.withColumn("file_id", F.col("id")), stamped.withColumn("file_id", F.col("id")), changed, gone),
-        }
-        for name, rows in writes.items():
-            self.store.replace(name, rows)
+        self.store.replace("calls", st.replace_file_facts(old_calls, calls, changed, gone))
+        self.store.replace("symbols", keep("symbols", symbols.drop("path")))
+        self.store.replace("chunks", keep("chunks", new["chunks"]))
+        self.store.replace("symbol_references", keep("symbol_references", refs))
+        self.store.replace("tests", keep("tests", new["tests"]))
+        self.store.replace("dependencies", keep("dependencies", deps))
+        others = self.table("files").where(F.col("repository_id") != self.repository_id)
+        mine = st.replace_file_facts(old.withColumn("file_id", F.col("id")), stamped.withColumn("file_id", F.col("id")), changed, gone)
+        self.store.replace("files", others.unionByName(mine, allowMissingColumns=True))
+        self._relate()
+        if self.ref_id is not None:
+            now = self.table("files").where(F.col("repository_id") == self.repository_id)
+            self.store.upsert("ref_files", st.link_files(self.ref_id, now, run_id))
+            self.store.replace("ref_files", st.remove_missing_ref_files(self.table("ref_files"), self.ref_id, now))
+        embedded = 0
+        if semantic:
+            every = parser.extract(found).where("record_kind = 'chunk'")
+            named = every.join(self.table("files").select("path", F.col("id").alias("file_id")), "path").withColumn("chunk_id", ids.stable_id(F.col("file_id"), F.col("kind"), F.col("start_byte"), F.col("end_byte"), F.md5("text")))
+            sem.embed_chunks(self.store, named.select("chunk_id", "text"), self.repository_id)
+            embedded = self.table("chunk_embeddings").count()
+        return {"files_seen": files.count(), "files_indexed": self.table("files").where(F.col("index_run_id") == run_id).count(), "chunks_embedded": embedded}
+
+    def _relate(self) -> None:
+        """Facts that join other facts: dependency usages and test targets."""
+        files = self.table("files").select(F.col("id").alias("file_id"), "path")
+        imports = self.table("symbol_references").where("reference_kind = 'import'").select(F.col("id").alias("reference_id"), "file_id", "source_symbol_id", "line", "confidence", paths.import_path(F.col("reference_text")).alias("import_path")).where("import_path is not null")
+        order = W.orderBy("manifest_path", "dependency_name", "id")
+        deps = self.table("dependencies").withColumn("ordinal", F.row_number().over(order)).select(F.col("id").alias("dependency_id"), "ordinal", "package_name", "dependency_name")
+        used = resolve.import_usages(imports, deps).join(imports.select("reference_id", "file_id", "source_symbol_id", "line"), "reference_id")
+        usages = used.select(ids.stable_id(F.col("reference_id"), F.col("dependency_id")).alias("id"), F.lit(self.repository_id).alias("repository_id"), "dependency_id", "file_id", "source_symbol_id", F.lit("import").alias("usage_kind"), "import_path", "referenced_symbol", "line", "confidence", F.lit("import_root_matches_manifest").alias("reason"))
+        self.store.replace("dependency_usages", usages)
+        symbols = self.table("symbols").join(files, "file_id")
+        aims = resolve.test_targets(self.table("tests"), symbols, self.table("calls"))
+        rows = aims.withColumn("id", ids.stable_id(F.col("test_id"), F.col("relationship_kind"), F.col("target_symbol_id"), F.col("target_file_id"))).withColumn("repository_id", F.lit(self.repository_id)).withColumn("reason", F.col("relationship_kind"))
+        self.store.replace("test_targets", rows)
 
     # questions ----------------------------------------------------------------
     def find_symbol(self, query: str, limit: int | None = None) -> DataFrame:
@@ -125,6 +185,12 @@ class Engine:
         hits = self.search(query, limit) if self.store.exists("vector_points") else None
         return context.unified(parts, hits, limit)
 
+    def semantic_status(self) -> DataFrame:
+        return sem.semantic_status(self.table("semantic_generations"), self.table("quality_embedding_jobs"))
+
+    def repository_status(self) -> DataFrame:
+        return sem.repository_status(*[self.table(n) for n in ("files", "chunks", "symbols", "index_runs", "repository_refs")])
+
     def debug_context(self, log: str, limit: int | None = None) -> dict[str, DataFrame]:
         logs = self.spark.createDataFrame([("input", runtime_log.runtime_input(log))], "log_id string, text string")
         return context.debug(logs, self.root or "", self.table("files"), self.symbols(), self.edges(), self.current(), limit)
@@ -159,7 +225,7 @@ class Engine:
 #: Operation -> method of ``Engine``.
 TOOLS = {
     n: getattr(Engine, n)
-    for n in ("search", "find_symbol", "callers", "callees", "call_path", "impact", "explain_change", "staleness", "context_pack", "debug_context", "index_status", "coverage", "timeline", "vector_verify", "vector_repair", "doctor")
+    for n in ("search", "find_symbol", "callers", "callees", "call_path", "impact", "explain_change", "staleness", "context_pack", "debug_context", "index_status", "repository_status", "semantic_status", "coverage", "timeline", "vector_verify", "vector_repair", "doctor")
 }
 
 

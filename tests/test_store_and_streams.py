@@ -85,7 +85,7 @@ def test_index_and_questions(spark, repo, tmp_path):
     engine = api.Engine(spark, Store(spark, f"file://{tmp_path}/idx"), repo, "r")
     engine.index("run1")
     assert {r.qualified_name for r in engine.find_symbol("helper").collect()} == {"crate::helper"}
-    assert [(r.caller_name, r.freshness) for r in engine.callers("helper").collect()] == [("crate::caller", "fresh")]
+    assert {(r.caller_name, r.freshness) for r in engine.callers("helper").collect()} == {("crate::caller", "fresh"), ("crate::other::far", "fresh")}
     assert [r.hops for r in engine.call_path("caller", "helper").collect()] == [1]
     assert {r.dependency_name for r in engine.table("dependencies").collect()} == {"sqlx"}
     with open(f"{repo}/src/lib.rs", "a") as f:
@@ -97,7 +97,7 @@ def test_index_and_questions(spark, repo, tmp_path):
     assert set(r.freshness for r in engine.staleness().collect()) == {"fresh"}
     assert engine.find_symbol("go").count() == 0 and engine.find_symbol("added").count() == 1
     assert engine.table("files").where("index_run_id = 'run1'").count() == 4  # unchanged files were skipped
-    assert [r.qualified_name for r in engine.impact("helper")["callers_transitive"].join(engine.symbols(), F.col("node") == F.col("id")).orderBy("hops").collect()] == ["crate::caller", "crate::added"]
+    assert [r.qualified_name for r in engine.impact("helper")["callers_transitive"].join(engine.symbols(), F.col("node") == F.col("id")).orderBy("hops", "qualified_name").collect()] == ["crate::caller", "crate::other::far", "crate::added"]
     assert engine.context_pack("helper").where("item_kind = 'symbol'").count() == 1
     frames = engine.debug_context(f"0: crate::caller\n  at {repo}/src/lib.rs:2:1\n")["frames"].collect()
     assert [(f.symbol_name, f.matched) for f in frames] == [("crate::caller", True)]
@@ -204,3 +204,42 @@ def test_stateful_changes(spark, tmp_path):
         assert got == {("a", "created"), ("b", "created"), ("a", "modified"), ("b", "deleted")}
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_semantic_index(spark, repo, tmp_path):
+    engine = api.Engine(spark, Store(spark, f"file://{tmp_path}/sem"), repo, "r", ref_id="main")
+    counts = engine.index("run1", semantic=True)
+    assert counts == {"files_seen": 6, "files_indexed": 6, "chunks_embedded": engine.table("chunks").count()}
+    assert engine.table("index_runs").first()["status"] == "success"
+    assert {(r.action, r.reason) for r in engine.table("file_index_events").collect()} == {("created", "new_file")}
+    assert {(r.import_path, r.confidence) for r in engine.table("dependency_usages").collect()} == set()
+    assert engine.vector_verify("fast").collect() == []
+    top = engine.search("pub fn helper() {}", 1).first()
+    assert top.path == "src/lib.rs" and abs(top.score - 1) < 1e-6
+    assert engine.layer("auto") == ("fast", "quality_not_configured")
+    assert engine.semantic_status().first()["quality_status"] == "fast_ready"
+    assert engine.repository_status().first()["files"] == 6
+    before = {r.id for r in engine.table("semantic_generations").collect()}
+    with open(f"{repo}/src/lib.rs", "a") as f:
+        f.write("use sqlx::SqlitePool;\npub fn added() { crate::other::far(); }\n")
+    os.remove(f"{repo}/web/app.js")
+    engine.index("run2", semantic=True)
+    assert len({r.id for r in engine.table("semantic_generations").collect()} - before) == 1
+    assert engine.vector_verify("fast").collect() == [] and engine.table("vector_points").count() == engine.table("chunks").count()
+    assert [(r.import_path, r.referenced_symbol) for r in engine.table("dependency_usages").collect()] == [("sqlx::SqlitePool", "SqlitePool")]
+    call = engine.table("calls").where("callee_text = 'crate::other::far'").first()
+    assert (call.resolution_status, call.confidence) == ("resolved_exact", 1.0) and call.callee_symbol_id
+    assert {r.path for r in engine.table("ref_files").collect()} == {r.path for r in engine.table("files").collect()}
+    assert engine.context_pack("helper").where("source = 'both'").count() == 1
+    with pytest.raises(Exception):
+        api.Engine(spark, engine.store, "/nowhere/at/all", "r").index("run3")
+    assert engine.table("index_runs").where("id = 'run3'").first()["status"] == "failed"
+
+
+def test_paths_inside_the_root(repo):
+    from codequarry.functions.status import inside_root
+
+    assert inside_root(repo, "src/../src/lib.rs") == "src/lib.rs"
+    for bad in ("../x", "/etc/passwd", "src/none.rs"):
+        with pytest.raises(ValueError):
+            inside_root(repo, bad)
