@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from codequarry.functions import ids, paths, status
 from codequarry.operators import freshness as fresh, graph, resolve, search, store as st, summaries, vectors
 from codequarry.plans import context, doctor, impact as imp, routing, semantic as sem
+from codequarry.scratch import Scratch
 from codequarry.sources import discovery, embedder, git, manifests, parser, runtime_log, targets
 
 
@@ -70,7 +71,9 @@ class Engine:
         skip = search.unchanged(files, old, parser_version).select("path")
         todo = found.join(skip, "path", "left_anti").join(files.select("path", "id", "content_hash", "repository_id"), "path")
         stamped = todo.select("id", "repository_id", "path", "language", "content_hash", F.current_timestamp().alias("indexed_at"), F.lit(run_id).alias("index_run_id"), F.lit(parser_version).alias("parser_version"))
-        records = parser.extract(todo)
+        # written between the steps: plans stay small and files are parsed once
+        scratch = Scratch(self.spark, "index")
+        records = scratch.save(parser.extract(todo), "records")
         new = parser.facts(records, stamped.select("path", "id", "repository_id"), run_id, parser_version)
         gone = old.join(files.select("path"), "path", "left_anti").select(F.col("id").alias("file_id"))
         changed = old.join(todo.select("path"), "path", "left_semi").select(F.col("id").alias("file_id"))
@@ -82,22 +85,23 @@ class Engine:
         events = events.withColumn("id", ids.stable_id(F.col("index_run_id"), F.col("path"))).withColumn("repository_ref_id", F.lit(self.ref_id).cast("string"))
 
         # names: first inside the file, then what is left across files
-        symbols = new["symbols"]
-        calls = resolve.callees(new["calls"].withColumnRenamed("id", "call_id"), symbols)
-        known = keep("symbols", symbols.drop("path")).select("id", "file_id", "name", "qualified_name")
+        symbols = scratch.save(new["symbols"], "symbols")
+        raw = scratch.save(new["calls"].withColumnRenamed("id", "call_id"), "raw")
+        calls = scratch.save(resolve.callees(raw, symbols), "local")
+        known = scratch.save(keep("symbols", symbols.drop("path")).select("id", "file_id", "name", "qualified_name"), "known")
         rust = todo.where("language = 'rust'").select(F.col("id").alias("file_id"))
-        open_ = calls.where("resolution_status = 'unresolved'").join(rust, "file_id", "left_semi").select(*new["calls"].withColumnRenamed("id", "call_id").columns)
-        across = resolve.callees(open_, known, across_files=True)
+        open_ = calls.where("resolution_status = 'unresolved'").join(rust, "file_id", "left_semi").select(*raw.columns)
+        across = scratch.save(resolve.callees(scratch.save(open_, "open"), known, across_files=True), "across")
         calls = calls.join(across.select("call_id"), "call_id", "left_anti").unionByName(across).withColumnRenamed("call_id", "id")
 
-        refs = new["symbol_references"].withColumnRenamed("id", "reference_id")
+        refs = scratch.save(new["symbol_references"].withColumnRenamed("id", "reference_id"), "references")
         around = resolve.containing(refs.select(F.col("reference_id").alias("node_id"), "file_id", "start_byte", "end_byte", "end_line"), symbols)
         refs = resolve.references(refs, symbols).join(around.select(F.col("node_id").alias("reference_id"), F.col("symbol_id").alias("source_symbol_id")), "reference_id", "left").withColumnRenamed("reference_id", "id")
         deps = stamp(manifests.dependencies(todo.select(F.col("id").alias("file_id"), "path", "content"), self.repository_id))
 
         self.store.append("file_index_events", events)
         old_calls = self.table("calls").join(self.table("symbols").select(F.col("id").alias("caller_symbol_id"), "file_id"), "caller_symbol_id", "left")
-        self.store.replace("calls", st.replace_file_facts(old_calls, calls, changed, gone))
+        self.store.replace("calls", _relinked(scratch.save(st.replace_file_facts(old_calls, calls, changed, gone), "merged"), known))
         self.store.replace("symbols", keep("symbols", symbols.drop("path")))
         self.store.replace("chunks", keep("chunks", new["chunks"]))
         self.store.replace("symbol_references", keep("symbol_references", refs))
@@ -222,6 +226,16 @@ class Engine:
         return doctor.diagnose(self.spark, self.store, self.staleness() if self.root else None)
 
 
+def _relinked(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Calls with those resolved again whose target went with a changed file
+    (ids follow from content, so a changed file has new symbols)."""
+    lost = calls.where("callee_symbol_id is not null").join(symbols.select(F.col("id").alias("callee_symbol_id")), "callee_symbol_id", "left_anti")
+    caller = symbols.select(F.col("id").alias("caller_symbol_id"), F.col("qualified_name").alias("caller_name"), "file_id")
+    open_ = lost.select(F.col("id").alias("call_id"), "caller_symbol_id", "callee_text", "call_line", "index_run_id", "parser_version").join(caller, "caller_symbol_id")
+    again = resolve.callees(open_, symbols, across_files=True).withColumnRenamed("call_id", "id")
+    return calls.join(lost.select("id"), "id", "left_anti").unionByName(again, allowMissingColumns=True)
+
+
 #: Operation -> method of ``Engine``.
 TOOLS = {
     n: getattr(Engine, n)
