@@ -5,7 +5,12 @@ a document's region is within ``e`` edits of a window of length m, they share
 at least m + 1 - (e + 1) * Q q-grams, all within ``e`` diagonals.  So the shared
 q-grams are counted in overlapping diagonal bands, regions that reach the bound
 are kept, and banded alignment gives their exact edit distance.  The lemma
-loses nothing; the alignment lets nothing false through.
+loses nothing of a window; the alignment lets nothing false through.
+
+A passage need not lie on the windows.  Where they find nothing, the q-grams are
+counted per diagonal band against the whole item, and each of its stretches of
+``WINDOW`` (``RATE`` edits) and of ``PASSAGE`` code points (``SLIPS`` edits), at
+any offset, that reaches the bound is aligned.
 
 Documents are scanned where they lie: nothing of them is shuffled.  The index of
 the benchmark is broadcast in blocks of at most ``BLOCK_CHARS`` code points, one
@@ -28,6 +33,9 @@ WINDOW = 100
 STRIDE = 50
 #: Edits allowed in a window, as a share of its length.
 RATE = 0.06
+#: Shortest passage from inside a longer item that is a leak, and edits allowed in it.
+PASSAGE = 50
+SLIPS = 1
 #: Shorter items are no evidence of a leak and are not searched.
 LEAST = 30
 BLOCK_CHARS = 2_000_000
@@ -72,10 +80,15 @@ class Index:
     place: np.ndarray
     edits: np.ndarray
     need: np.ndarray  # shared q-grams needed
+    owner: np.ndarray  # number of the item of each window
+    texts: list[np.ndarray]  # whole items, by number
+    head: np.ndarray  # places of gram k in whole items: head[k] .. head[k + 1]
+    source: np.ndarray
+    spot: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Index | None:
-        windows, ids, offsets = [], [], []
+        windows, ids, offsets, owner, whole = [], [], [], [], []
         for item, text in items:
             p = code_points(text or "")
             if len(p) < LEAST:
@@ -85,6 +98,8 @@ class Index:
                 windows.append(p[at : at + WINDOW])
                 ids.append(item)
                 offsets.append(at)
+                owner.append(len(whole))
+            whole.append(p)
         if not windows:
             return None
         g = [grams(w) for w in windows]
@@ -95,7 +110,14 @@ class Index:
         distinct, first = np.unique(gram[order], return_index=True)
         edits = np.array([budget(len(w)) for w in windows])
         need = np.array([len(w) + 1 - (e + 1) * Q for w, e in zip(windows, edits, strict=True)])
-        return cls(windows, np.array(ids, np.int64), np.array(offsets), distinct, np.append(first, len(gram)), window[order], place[order], edits, need)
+        # windows cover their item, so its grams are the windows' grams
+        g = [grams(p) for p in whole]
+        at = np.searchsorted(distinct, np.concatenate(g))
+        by = np.argsort(at, kind="stable")
+        head = np.searchsorted(at[by], np.arange(len(distinct) + 1))
+        source = np.repeat(np.arange(len(g)), [len(x) for x in g])[by]
+        spot = np.concatenate([np.arange(len(x)) for x in g])[by]
+        return cls(windows, np.array(ids, np.int64), np.array(offsets), distinct, np.append(first, len(gram)), window[order], place[order], edits, need, np.array(owner), whole, head, source, spot)
 
     def bitmap(self) -> np.ndarray:
         have = np.zeros(MAP, bool)
@@ -150,7 +172,8 @@ def verbatim(pattern: np.ndarray, region: np.ndarray) -> tuple[int, int, int] |
 
 
 def search(index: Index, have: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, window, edits, start, end) of every window found."""
+    """(text, item, edits, start, end) of every window found, then of the
+    passages of items of which the text holds no window."""
     parts = [code_points(t) for t in texts]
     points = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
@@ -167,7 +190,7 @@ def search(index: Index, have: np.ndarray, texts: list[str]) -> Iterator[tuple[i
     near, at, text = near[inside], at[inside], text[inside]
     # only places with enough hits around them can hold a window
     span = WINDOW + int(RATE * WINDOW) + 1
-    least = int(index.need.min())
+    least = min(int(index.need.min()), PASSAGE + 1 - (SLIPS + 1) * Q, WINDOW + 1 - (budget(WINDOW) + 1) * Q)
     ahead = np.searchsorted(near, near + span, side="right")
     rich = np.zeros(len(near) + 1, np.int64)
     first = np.flatnonzero(ahead - np.arange(len(near)) >= least)
@@ -177,8 +200,8 @@ def search(index: Index, have: np.ndarray, texts: list[str]) -> Iterator[tuple[i
     near, at, text = near[keep], at[keep], text[keep]
     if not len(near):
         return
-    many = index.first[at + 1] - index.first[at]
-    flat = np.repeat(index.first[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+    hits = near, at, text
+    flat, many = _postings(index.first, at)
     window, place = index.window[flat], index.place[flat]
     where, text = np.repeat(near, many), np.repeat(text, many)
     start = where - place  # the diagonal: where the window would begin
@@ -191,13 +214,68 @@ def search(index: Index, have: np.ndarray, texts: list[str]) -> Iterator[tuple[i
         for k in distinct[count >= index.need[distinct // bands % len(index.windows)]].tolist():
             t, w, b = k // bands // len(index.windows), k // bands % len(index.windows), k % bands
             found[t, w, b * 2 * width - half * width - WINDOW] = None
+    known = set()
     for t, w, low in found:
         e, m = int(index.edits[w]), len(index.windows[w])
         begin = max(low - e, int(offsets[t]))
         region = points[begin : min(low + 2 * width + m + e, int(offsets[t + 1]))]
         best = verbatim(index.windows[w], region) or distance(index.windows[w], region, e, max(len(region) - m, 0))
         if best:
-            yield t, w, best[0], begin - int(offsets[t]) + best[1], begin - int(offsets[t]) + best[2]
+            known.add((t, int(index.owner[w])))
+            yield t, int(index.items[w]), best[0], begin - int(offsets[t]) + best[1], begin - int(offsets[t]) + best[2]
+    ids = dict(zip(index.owner.tolist(), index.items.tolist(), strict=True))
+    for t, i, *rest in _passages(index, points, offsets, *hits, known):
+        yield t, ids[i], *rest
+
+
+def _postings(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the postings of the grams ``at``, and how many each has."""
+    many = first[at + 1] - first[at]
+    return np.repeat(first[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()), many
+
+
+def _passages(index: Index, points: np.ndarray, offsets: np.ndarray, near: np.ndarray, at: np.ndarray, text: np.ndarray, known: set) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item number, edits, start, end) of passages at any offset of the
+    items; pairs in ``known`` are left out.  Passages in one band are one row."""
+    kinds = ((PASSAGE, SLIPS), (WINDOW, budget(WINDOW)))
+    flat, many = _postings(index.head, at)
+    item, spot = index.source[flat], index.spot[flat]
+    where, text = np.repeat(near, many), np.repeat(text, many)
+    sizes = np.array([len(p) for p in index.texts])
+    left = sizes[item] > PASSAGE  # shorter items are a window themselves
+    if known:
+        left &= ~np.isin(text * len(sizes) + item, [t * len(sizes) + i for t, i in known])
+    item, spot, where, text = item[left], spot[left], where[left], text[left]
+    width, most = max(e for _, e in kinds) + 1, int(sizes.max())
+    done: set = set()
+    for half in (0, 1):
+        band = (where - spot + half * width + most) // (2 * width)
+        bands = int(band.max()) + 1 if len(band) else 1
+        group = (text * len(sizes) + item) * bands + band
+        order = np.lexsort((spot, group))
+        g, s = group[order], spot[order]
+        edge = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g)) if len(g) else np.zeros(1, np.int64)
+        fewest = min(m + 1 - (e + 1) * Q for m, e in kinds)
+        for k in np.flatnonzero(np.diff(edge) >= fewest).tolist():
+            here, code = np.unique(s[edge[k] : edge[k + 1]]), int(g[edge[k]])
+            t, i, low = code // bands // len(sizes), code // bands % len(sizes), code % bands * 2 * width - half * width - most
+            own, a, z = index.texts[i], int(offsets[t]), int(offsets[t + 1])
+            for m, e in kinds:
+                froms = np.arange(max(len(own) - m + 1, 0))
+                shared = np.searchsorted(here, froms + m - Q + 1) - np.searchsorted(here, froms)
+                places = []
+                for o in froms[shared >= m + 1 - (e + 1) * Q].tolist():
+                    begin = max(low + o - e, a)
+                    region = points[begin : max(min(low + o + 2 * width + m + e, z), begin)]
+                    best = verbatim(own[o : o + m], region) or distance(own[o : o + m], region, e, max(len(region) - m, 0))
+                    if best:
+                        places.append((best[0], begin - a + best[1], begin - a + best[2]))
+                if places:
+                    row = (t, i, min(x[0] for x in places), min(x[1] for x in places), max(x[2] for x in places))
+                    if row not in done:
+                        done.add(row)
+                        yield row
+                    break
 
 
 def _scan(index: Index):
@@ -212,7 +290,7 @@ def _scan(index: Index):
                     own.append(texts[at].as_py() or "")
                     size += len(own[-1])
                     at += 1
-                rows = [(ids[first + t], int(index.items[w]), e, s, z) for t, w, e, s, z in search(index, have, own)]
+                rows = [(ids[first + t], i, e, s, z) for t, i, e, s, z in search(index, have, own)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "edits", "start", "end"])
 
@@ -233,10 +311,12 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per window found: doc_id, item_id, edits, start, end (code points).
+    """Per window or passage found: doc_id, item_id, edits, start, end (code points).
 
     A document leaks an item when some region of it is within the edit budget
-    (``RATE`` of the length) of one of the item's windows, A-Z lower-cased.
+    (``RATE`` of the length) of the item, if it has at most ``WINDOW`` code
+    points, or else of any ``WINDOW`` code points of it, or within ``SLIPS``
+    edits of any ``PASSAGE`` code points of it, A-Z lower-cased.
     Null and empty texts leak nothing; items without id or text, or shorter
     than ``LEAST`` code points, are not searched.  Repeated rows give repeated
     results.

@@ -111,3 +111,35 @@ def test_the_lemma_always_says_something():
     for n in range(D.LEAST, 400):
         e = D.budget(n)
         assert n + 1 - (e + 1) * D.Q >= 1
+
+
+def test_passages_at_any_offset(spark, make):
+    """Against the stated rule at every offset: no stride is used here."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop  ") for _ in range(n))
+    items = [(i, text(230)) for i in range(6)] + [(6, text(80))]
+    docs = []
+    for n, size in enumerate((40, 48, 50, 51, 60, 78, 78, 90, 105, 120) * 3):
+        at = rng.randrange(230 - size)
+        docs.append((n, text(40) + items[n % 6][1][at : at + size] + text(40)))
+    for n, k in enumerate((1, 2, 4, 6, 8) * 3):  # damaged passages off the windows
+        cut = list(items[n % 6][1][25 + n : 127 + n])
+        for p in rng.sample(range(len(cut)), k):
+            cut[p] = "z"
+        docs.append((100 + n, text(30) + "".join(cut) + text(30)))
+    docs += [(200, items[6][1][7:65]), (201, text(900))]
+
+    def holds(t, p):
+        if len(p) <= D.WINDOW and edit(p, t) <= D.budget(len(p)):
+            return True
+        if any(p[a : a + D.PASSAGE] in t for a in range(len(p) - D.PASSAGE + 1)):
+            return True
+        near = lambda m, e: any(edit(p[a : a + m], t) <= e for a in range(len(p) - m + 1))
+        return near(D.PASSAGE, D.SLIPS) or near(D.WINDOW, D.budget(D.WINDOW))
+
+    pairs = [(d, t, i, p) for d, t in docs for i, p in items if d == 201 and i < 1 or d == 200 and i == 6 or d < 200 and i == d % 100 % 6]
+    want = {(d, i) for d, t, i, p in pairs if holds(t, p)}
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(make(docs), table(spark, items)).collect()}
+    assert got == want
+    assert {n for n in range(30) if n % 10 >= 2} <= {d for d, _ in got} and 200 in {d for d, _ in got}
+    assert {r.doc_id for r in D.drop_leaks(make(docs), table(spark, items)).collect()} == {d for d, _ in docs} - {d for d, _ in got}
