@@ -6,7 +6,9 @@ matches, so no position ever has to be searched for twice.  Beside the fixed
 kinds, candidate strings (long runs of key characters) are judged by the
 Shannon entropy of every window of ``WINDOW`` characters.  The counts behind
 the entropy are kept incrementally: one character enters, one leaves, and two
-terms of the sum change.  Candidates in plain words, paths and well-known
+terms of the sum change.  Each run of hexadecimal digits of one case inside a
+candidate is judged with the threshold of its class, and a hit is the whole run;
+what is found in one candidate is one span.  Candidates in plain words, paths and well-known
 placeholders are on an allow list.
 """
 
@@ -28,6 +30,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Characters in an entropy window.
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Hexadecimal runs are judged by themselves, whatever they are glued to.
+HEX_CANDIDATES = (r"[0-9a-f]{20,}", r"[0-9A-F]{20,}")
 #: Character class -> (alphabet, least entropy in bits of a window).
 CLASSES = {
     "hex": ("0123456789abcdef", 2.9),
@@ -97,19 +101,25 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     source = f"coalesce({text}, '')"
     base = f"sort_array(concat({_placed(source, ASSIGN, 2, ASSIGN_LEAST, 0)}, {_placed(source, ACCESS, 0, ACCESS_LEAST, 1)}, {_placed(source, HEX_RUN, 0, HEX_LEAST, 2)}))"
     candidates = f"filter({_placed(source, CANDIDATE, 0, WINDOW, 3)}, c -> c.found rlike {_quoted(MIXED)} and not c.found rlike {_quoted(PLACEHOLDER)})"
-    judged = f"""filter(transform(candidates, c -> case
-        when c.found rlike '^([0-9a-f]+|[0-9A-F]+)$' then named_struct('c', c, 'w', {_entropy_span("hex", "lower(c.found)")})
-        else named_struct('c', c, 'w', {_entropy_span("key", "c.found")}) end), x -> x.w.first >= 0)"""
-    added = f"""filter(transform({judged}, x -> named_struct('start', x.c.start + x.w.first, 'rank', 3,
-        'end', x.c.start + x.w.last + {WINDOW}, 'found', substring(x.c.found, x.w.first + 1, x.w.last - x.w.first + {WINDOW}))),
+    hexes = f"""filter(concat({_placed(source, HEX_CANDIDATES[0], 0, WINDOW, 3)}, {_placed(source, HEX_CANDIDATES[1], 0, WINDOW, 3)}),
+        h -> h.found rlike {_quoted(MIXED)} and not exists(base_spans, b -> b.start <= h.start and h.end <= b.end) and ({_entropy_span("hex", "lower(h.found)")}).first >= 0)"""
+    pieces = f"""transform(candidates, c -> named_struct('c', c, 'parts', concat(
+        if(c.found rlike '^([0-9a-f]+|[0-9A-F]+)$', cast(array() as array<struct<start:int,end:int>>),
+            transform(filter(array({_entropy_span("key", "c.found")}), k -> k.first >= 0), k -> named_struct('start', c.start + k.first, 'end', c.start + k.last + {WINDOW}))),
+        transform(filter(hexes, h -> c.start <= h.start and h.end <= c.end), h -> named_struct('start', h.start, 'end', h.end)))))"""
+    judged = f"""transform(filter({pieces}, x -> size(x.parts) > 0), x -> named_struct('c', x.c,
+        'start', array_min(transform(x.parts, y -> y.start)), 'end', array_max(transform(x.parts, y -> y.end))))"""
+    added = f"""filter(transform({judged}, x -> named_struct('start', x.start, 'rank', 3,
+        'end', x.end, 'found', substring(x.c.found, x.start - x.c.start + 1, x.end - x.start))),
         e -> not exists(base_spans, b -> b.start <= e.start and e.end <= b.end))"""
     none = "cast(array() as array<struct<start:int,rank:int,end:int,found:string>>)"
     return (
         docs.withColumn("base_spans", F.expr(base))
         .withColumn("candidates", F.expr(candidates))
+        .withColumn("hexes", F.expr(f"case when size(candidates) > 0 then {hexes} end"))
         .withColumn("spans", F.expr(f"case when size(candidates) > 0 then sort_array(concat(base_spans, {added})) else base_spans end"))
         .withColumn("spans", F.expr(f"coalesce(spans, {none})"))
-        .drop("candidates")
+        .drop("candidates", "hexes")
     )
 
 

@@ -62,3 +62,24 @@ def test_redact(make):
     assert S.redact(docs).columns == docs.columns
     assert (out[1].text, out[1].n_chars) == ("a [secret] b [secret] c", 23)
     assert out[2].text == "clean" and out[3].text is None and out[None].text == "[secret]" and out[2].key == "x"
+
+
+def test_glued_hex_is_found_whole(make):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for i in range(60):
+        size = (20, 32, 40)[i % 3]
+        upper = "".join(rng.choice("0123456789ABCDEF") for _ in range(size))
+        before, after = (("SESSION=", ""), ("build-", "_x"), ("a/", "/b"), ("KEY=", "=zz"), ("x+", "-1"))[i % 5]
+        rows.append((i, f"run {before}{upper}{after} end"))
+        want[i] = (4 + len(before), 4 + len(before) + size)
+    low = "".join(rng.choice("0123456789abcdef") for _ in range(22))
+    rows += [(100, f"run build-{low} end"), (101, "run build-12345678901234567890123 end"), (102, "run build-" + "ABABABAB12" * 3 + " end")]
+    want[100] = (10, 32)
+    out = {r.doc_id: r for r in S.scan(make(rows)).collect()}
+    for i, (a, z) in want.items():
+        found = [tuple(map(int, x.split(":")[1:])) for x in out[i].spans.split(",") if x.startswith("entropy")]
+        assert len(found) == 1 and found[0][0] <= a and found[0][1] >= z, rows[i if i < 60 else 60]
+    assert out[102].n_entropy == 0
+    clean = {r.doc_id: r.text for r in S.redact(make(rows)).collect()}
+    assert all(rows[i][1][a:z][k : k + 4] not in clean[i] for i, (a, z) in want.items() if i < 60 for k in range(z - a - 3))
