@@ -6,10 +6,11 @@ matches, so no position ever has to be searched for twice.  Beside the fixed
 kinds, candidate strings (long runs of key characters) are judged by the
 Shannon entropy of every window of ``WINDOW`` characters.  The counts behind
 the entropy are kept incrementally: one character enters, one leaves, and two
-terms of the sum change.  Each run of hexadecimal digits of one case inside a
+terms of the sum change.  A window with a well-known placeholder does not count.
+Of candidates in which no letter is next to a digit (words, paths, numbers) the
+tokens of letters are measured, not the whole.  Each run of hexadecimal digits of one case inside a
 candidate is judged with the threshold of its class, and a hit is the whole run;
-what is found in one candidate is one span.  Candidates in plain words, paths and well-known
-placeholders are on an allow list.
+what is found in one candidate is one span.
 """
 
 from __future__ import annotations
@@ -38,9 +39,13 @@ CLASSES = {
     "key": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7),
 }
 #: A candidate without a letter beside a digit is made of words, paths, rulers
-#: or numbers; others are placeholders.  Neither is a secret.
+#: or numbers: of these only the letter tokens are measured.
 MIXED = r"[A-Za-z][0-9]|[0-9][A-Za-z]"
+LETTERS = r"[A-Za-z]{20,}"
+#: A window with one of these is no secret; what else is in the candidate may be.
 PLACEHOLDER = r"(?i)example|placeholder|changeme|dummy|xxxx|0123456789|abcdefgh"
+#: Placeholders that go on: windows that share a character with them are none either.
+RULERS = ("0123456789", "abcdefgh")
 
 
 def _quoted(text: str) -> str:
@@ -67,6 +72,12 @@ def _placed(text: str, pattern: str, group: int, least: int, rank: int) -> str:
     return f"case when {text} rlike {q} then {walk} else {none} end"
 
 
+def _allowed(s: str) -> str:
+    """SQL: the window of ``s`` that ends at ``i`` holds a placeholder or meets a ruler."""
+    met = [f"substring({s}, greatest(i - {WINDOW + len(r) - 3}, 1), i + {len(r)} - greatest(i - {WINDOW + len(r) - 3}, 1) + 1) rlike '(?i){r}'" for r in RULERS]
+    return " or ".join([f"substring({s}, i - {WINDOW - 2}, {WINDOW}) rlike {_quoted(PLACEHOLDER)}", *met])
+
+
 def _entropy_span(kind: str, s: str) -> str:
     """SQL: (first, last) start of the windows of ``s`` that are random enough
     for the class, (-1, -1) if none; counts are updated per character."""
@@ -78,7 +89,7 @@ def _entropy_span(kind: str, s: str) -> str:
     change = f"""if(({leave}) <=> {enter}, 0D,
         get({terms}, get(t.n, {enter}) + 1) - get({terms}, get(t.n, {enter}))
         + if(({leave}) >= 0, get({terms}, get(t.n, {leave}) - 1) - get({terms}, get(t.n, {leave})), 0D))"""
-    hit = f"i >= {WINDOW - 1} and {math.log2(WINDOW)!r}D - (t.f + {change}) / {WINDOW}D >= {least!r}D"
+    hit = f"i >= {WINDOW - 1} and {math.log2(WINDOW)!r}D - (t.f + {change}) / {WINDOW}D >= {least!r}D and not ({_allowed(s)})"
     return f"""get(transform(array(named_struct('codes', {codes})), w -> aggregate(
       sequence(0, length({s}) - 1),
       named_struct('n', array_repeat(0, {k}), 'f', 0D, 'first', -1, 'last', -1),
@@ -100,13 +111,17 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     source = f"coalesce({text}, '')"
     base = f"sort_array(concat({_placed(source, ASSIGN, 2, ASSIGN_LEAST, 0)}, {_placed(source, ACCESS, 0, ACCESS_LEAST, 1)}, {_placed(source, HEX_RUN, 0, HEX_LEAST, 2)}))"
-    candidates = f"filter({_placed(source, CANDIDATE, 0, WINDOW, 3)}, c -> c.found rlike {_quoted(MIXED)} and not c.found rlike {_quoted(PLACEHOLDER)})"
+    outside = "not exists(base_spans, b -> b.start <= h.start and h.end <= b.end)"
+    candidates = f"filter({_placed(source, CANDIDATE, 0, WINDOW, 3)}, c -> c.found rlike {_quoted(MIXED)} or c.found rlike {_quoted(LETTERS)})"
     hexes = f"""filter(concat({_placed(source, HEX_CANDIDATES[0], 0, WINDOW, 3)}, {_placed(source, HEX_CANDIDATES[1], 0, WINDOW, 3)}),
-        h -> h.found rlike {_quoted(MIXED)} and not exists(base_spans, b -> b.start <= h.start and h.end <= b.end) and ({_entropy_span("hex", "lower(h.found)")}).first >= 0)"""
+        h -> h.found rlike {_quoted(MIXED)} and {outside} and ({_entropy_span("hex", "lower(h.found)")}).first >= 0)"""
+    tokens = f"""filter(transform(filter({_placed(source, LETTERS, 0, WINDOW, 3)}, h -> {outside} and exists(candidates, c -> c.start <= h.start and h.end <= c.end and not c.found rlike {_quoted(MIXED)})),
+        h -> named_struct('h', h, 'w', {_entropy_span("key", "h.found")})), x -> x.w.first >= 0)"""
     pieces = f"""transform(candidates, c -> named_struct('c', c, 'parts', concat(
-        if(c.found rlike '^([0-9a-f]+|[0-9A-F]+)$', cast(array() as array<struct<start:int,end:int>>),
+        if(c.found rlike '^([0-9a-f]+|[0-9A-F]+)$' or not c.found rlike {_quoted(MIXED)}, cast(array() as array<struct<start:int,end:int>>),
             transform(filter(array({_entropy_span("key", "c.found")}), k -> k.first >= 0), k -> named_struct('start', c.start + k.first, 'end', c.start + k.last + {WINDOW}))),
-        transform(filter(hexes, h -> c.start <= h.start and h.end <= c.end), h -> named_struct('start', h.start, 'end', h.end)))))"""
+        transform(filter(hexes, h -> c.start <= h.start and h.end <= c.end), h -> named_struct('start', h.start, 'end', h.end)),
+        transform(filter(tokens, x -> c.start <= x.h.start and x.h.end <= c.end), x -> named_struct('start', x.h.start + x.w.first, 'end', x.h.start + x.w.last + {WINDOW})))))"""
     judged = f"""transform(filter({pieces}, x -> size(x.parts) > 0), x -> named_struct('c', x.c,
         'start', array_min(transform(x.parts, y -> y.start)), 'end', array_max(transform(x.parts, y -> y.end))))"""
     added = f"""filter(transform({judged}, x -> named_struct('start', x.start, 'rank', 3,
@@ -117,9 +132,10 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         docs.withColumn("base_spans", F.expr(base))
         .withColumn("candidates", F.expr(candidates))
         .withColumn("hexes", F.expr(f"case when size(candidates) > 0 then {hexes} end"))
+        .withColumn("tokens", F.expr(f"case when size(candidates) > 0 then {tokens} end"))
         .withColumn("spans", F.expr(f"case when size(candidates) > 0 then sort_array(concat(base_spans, {added})) else base_spans end"))
         .withColumn("spans", F.expr(f"coalesce(spans, {none})"))
-        .drop("candidates", "hexes")
+        .drop("candidates", "hexes", "tokens")
     )
 
 
