@@ -201,13 +201,24 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, w)), pa.array(np.full(n, k)), pa.array((np.arange(n) + a).astype(np.int32))], ["content", "weight", "key", "start"])
 
 
+def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the contexts: its content hash, and its place in them."""
+    for batch in batches:
+        anchors, contexts, weight, blobs = (batch.column(c).to_pylist() for c in ("anchor", "context", "weight", "bytes"))
+        for a, c, w, blob in zip(anchors, contexts, weight, blobs, strict=True):
+            data = np.frombuffer(blob, np.uint8)
+            n = len(data) - LENGTH + 1
+            h = Prefix(data).hashes(np.arange(n), np.arange(n) + LENGTH).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(h), pa.array(np.full(n, c)), pa.array(np.full(n, w)), pa.array(np.arange(n))], ["anchor", "number", "context", "weight", "shift"])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def _candidates(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _candidates(keyed: DataFrame, scratch: Scratch, which: str = "kinds > 1 and single > 0") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Repeated runs, their distinct contexts with weights, and the contexts
-    that need a suffix array, with their bytes."""
+    that need a suffix array (``which``), with their bytes."""
     every = scratch.save(keyed.select("key", "text").mapInArrow(lean(_anchors), A_SCHEMA), "anchors")
     # written, so that the join has a shuffle of its own on both sides and can
     # split an anchor with very many occurrences
@@ -217,7 +228,7 @@ def _candidates(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     scratch.drop("twice")
     contexts = runs.groupBy("anchor", "context", "n").agg(F.count("*").alias("weight"), F.min(F.struct("key", "at")).alias("one"))
     contexts = scratch.save(contexts.select("anchor", "context", "n", "weight", "one.key", "one.at"), "contexts")
-    mixed = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("weight") == 1).alias("single")).where("kinds > 1 and single > 0").select("anchor", "kinds")
+    mixed = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("weight") == 1).alias("single")).where(which).select("anchor", "kinds")
     wanted = scratch.save(contexts.join(mixed, "anchor"), "wanted")
     cut = f"substring(cast(text as binary), at + 1, n + {LENGTH - 1})"
     texts = prefilter(keyed.select("key", "text"), wanted, "key")
@@ -246,19 +257,29 @@ def repeated_spans(docs: DataFrame, label: str = "suffix", scratch: Scratch | No
 
 def maximal_repeats(docs: DataFrame, label: str = "repeats") -> DataFrame:
     """(anchor, number, length, doc_id, start): maximal repeat groups of at least
-    ``LENGTH`` bytes with all occurrences, in anchors whose contexts differ.
+    ``LENGTH`` bytes with all occurrences.
 
     A group is named by its anchor and number.  Equal contexts are listed with
-    every document that has them.
+    every document that has them, also where an anchor has no other context.
+    An anchor with over ``HOT`` contexts has no suffix array: its groups are its
+    equal contexts and its repeated windows of ``LENGTH`` bytes, unextended.
     """
     scratch = Scratch(docs.sparkSession, label)
     keyed = _keyed(docs)
-    runs, _, loaded = _candidates(keyed, scratch)
+    runs, contexts, loaded = _candidates(keyed, scratch, "kinds > 1")
     found = _sharded(loaded).groupBy("shard").applyInArrow(_groups, "anchor bigint, number bigint, length bigint, context bigint, key bigint, start bigint")
     base = loaded.select("anchor", "context", F.col("at").alias("base"))
-    places = found.join(base, ["anchor", "context"]).withColumn("shift", F.col("start") - F.col("base")).drop("key", "start", "base")
-    every = places.join(runs.select("anchor", "context", "key", "at"), ["anchor", "context"])
-    return every.join(keyed.select("key", "doc_id"), "key").select("anchor", "number", "length", "doc_id", (F.col("at") + F.col("shift")).alias("start"))
+    names = ["anchor", "number", "length", "context", "shift"]
+    places = found.join(base, ["anchor", "context"]).withColumn("shift", F.col("start") - F.col("base")).select(names)
+    # anchors without a suffix array: one context only, or too many
+    arrays = loaded.where(F.col("kinds") <= HOT).select("anchor").distinct()
+    equal = contexts.where("weight > 1").join(arrays, "anchor", "left_anti").select("anchor", F.col("context").alias("number"), F.expr(f"cast(n + {LENGTH - 1} as bigint)").alias("length"), "context", F.lit(0).cast("bigint").alias("shift"))
+    spread = scratch.save(loaded.where(F.col("kinds") > HOT).select("anchor", "context", "weight", "bytes").mapInArrow(lean(_hot_windows), "anchor bigint, number bigint, context bigint, weight bigint, shift bigint"), "windows")
+    often = spread.groupBy("anchor", "number").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor", "number")
+    hot = spread.join(often, ["anchor", "number"], "left_semi").withColumn("length", F.lit(LENGTH).cast("bigint")).select(names)
+    every = places.union(equal).union(hot).join(runs.select("anchor", "context", "key", "at"), ["anchor", "context"])
+    # rows that are repeated are places of their own already
+    return every.join(keyed.select("key", "doc_id").dropDuplicates(["key"]), "key").select("anchor", "number", "length", "doc_id", (F.col("at") + F.col("shift")).alias("start"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

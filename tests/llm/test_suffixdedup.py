@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pytest
 from codequarry.llm import suffixdedup as S
 
 
@@ -71,3 +72,28 @@ def test_groups_list_all_occurrences(make):
     for r in rows:
         groups.setdefault((r.anchor, r.number), set()).add(docs[r.doc_id][r.start : r.start + r.length])
     assert groups and all(len(g) == 1 and len(next(iter(g))) >= 200 for g in groups.values())
+
+
+@pytest.mark.parametrize("hot", (S.HOT, 1))
+def test_every_repeated_window_is_in_a_group(make, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    copy, p, a, b, long = text(500), text(240), text(90), text(90), text(900)
+    texts = [copy, copy, copy] + [x + p + x for x in (a, a, b, b)] + [text(50) + long + text(50) for _ in range(2)] + [text(80) + p + text(80), text(600)]
+    docs = dict(enumerate(texts))
+    groups = {}
+    for r in S.maximal_repeats(make(list(docs.items()))).collect():
+        groups.setdefault((r.anchor, r.number, r.length), []).append((r.doc_id, r.start))
+    held = {}
+    for (_, _, n), places in groups.items():
+        assert n >= S.LENGTH and len(set(places)) == len(places) > 1 and len({docs[d][s : s + n] for d, s in places}) == 1
+        for k in range(n - S.LENGTH + 1):
+            w = docs[places[0][0]][places[0][1] + k :][: S.LENGTH]
+            held.setdefault(w, []).append({(d, s + k) for d, s in places})
+    want = {}
+    for d, t in docs.items():
+        for k in range(len(t) - S.LENGTH + 1):
+            want.setdefault(t[k : k + S.LENGTH], set()).add((d, k))
+    want = {w: places for w, places in want.items() if len(places) > 1}
+    assert set(held) == set(want) and all(places in held[w] for w, places in want.items())
