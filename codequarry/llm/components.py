@@ -18,9 +18,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     ``component`` is the least node reachable.  Each round makes every node
     point to the least neighbour it knows (large star), then to the least of
     its smaller neighbours (small star); the number of rounds is logarithmic.
-    Only minima are aggregated, so a node with very many neighbours is never
-    gathered in one task.  Self loops and repeated edges do no harm; an empty
-    edge table gives an empty result.
+    Only minima are aggregated (map-side combined), and they are written before
+    the edges meet them: each join then has a shuffle of its own on both sides,
+    which AQE can split, so a node with very many neighbours is never gathered
+    in one task.  Self loops and repeated edges do no harm; an empty edge table
+    gives an empty result.
     """
     state = scratch.save(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
@@ -29,11 +31,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     before, step = None, 0
     while True:
         both = state.select("u", "v").union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = _least_neighbour(large)
+        low = scratch.save(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), f"{name}low")
+        large = scratch.save(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}large")
+        least = scratch.save(_least_neighbour(large), f"{name}least")
         small = (
-            large.join(low, "u")
+            large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")

@@ -5,8 +5,10 @@ and then, within a source, to shards by highest quotient weight / (2 * seats +
 1), which gives integer quotas.  In a shard the documents stand in a seeded
 order and their words form a ring cut into blocks; the quota is filled by whole
 passes over the shard and, for the rest, by consecutive blocks from a seeded
-one on.  Shards hold about ``SHARD`` words, so a source of any size is spread
-over many tasks and no source is gathered anywhere.
+one on.  Shards hold about ``SHARD`` words and are dealt to in bins of about
+``BIN`` (source, bin, shard), so a source of any size is spread over many tasks
+and none is gathered anywhere.  Only the sources themselves, one row each, are
+ordered in one task.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from codequarry.scratch import Scratch
 
 BLOCK = 32
 SHARD = 1_000_000
+#: Shards of a source that are dealt to at once.
+BIN = 1000
 MOST = 3
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,14 +36,18 @@ def apportion(df: DataFrame, by: list[str], key: str, weight: str, seats: str, o
 
     Adds bigint ``out``.  The rows start with their weight rounded to seats;
     what is then missing or too much (at most half a seat a row) goes by
-    quotients: only as many quotients are listed as can win.  Ties go to the
-    lesser ``key``, null last.  Weights are non-negative; a group whose weights
-    are all 0 gets none.
+    quotients.  The divisor at which the seats come out lies between the sum of
+    the weights over seats + rows / 2 and over seats - rows / 2, so a row of
+    share s moves by less than s * rows / 2 + 1 seats: so many quotients are
+    listed, at most 3.5 a row on average, and none that can win is left out.
+    Ties go to the lesser ``key``, null last.  Weights are non-negative; a group
+    whose weights are all 0 gets none.
     """
     group = W.partitionBy(*by)
     base = df.withColumn("__place", F.row_number().over(group.orderBy(F.col(key).asc_nulls_last()))).withColumn("__sum", F.sum(weight).over(group)).withColumn("__exact", F.expr(f"case when __sum > 0 then {weight} * {seats} / __sum else 0D end"))
     base = base.withColumn("__first", F.floor(F.col("__exact") + 0.5)).withColumn("__gap", F.when(F.col("__sum") > 0, F.col(seats) - F.sum("__first").over(group)).otherwise(F.lit(0)))
-    chance = F.expr("cast(ceil(abs(__gap) * case when __sum > 0 then " + weight + " / __sum else 0D end) as bigint) + 2")
+    base = base.withColumn("__rows", F.count("*").over(group))
+    chance = F.expr(f"cast(ceil(case when __sum > 0 then {weight} / __sum else 0D end * __rows / 2) as bigint) + 2")
     tries = base.where("__gap <> 0").withColumn("__j", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.abs("__gap"), chance))))
     quotient = F.expr(f"case when __gap > 0 then -({weight}) / (2 * (__first + __j) - 1) when __first >= __j then ({weight}) / (2 * (__first - __j) + 1) end")
     ranked = tries.withColumn("__q", quotient).where("__q is not null").withColumn("__rank", F.row_number().over(group.orderBy("__q", F.col("__place") * F.signum("__gap"), "__j")))
@@ -88,8 +96,12 @@ def mix(docs: DataFrame, seed: int = SEED, label: str = "mixing") -> DataFrame:
     quotas = scratch.save(apportion(whole, ["one"], "source", "target", "seats").select("source", F.col("size").alias("source_size"), "target", "quota", F.greatest(F.ceil(F.col("size") / SHARD), F.lit(1)).alias("shards")), "quotas")
 
     dealt = sized.join(quotas.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("shard", F.pmod("spot", "shards"))
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("seats"))
-    plan = apportion(shards, ["source"], "shard", "words", "seats")
+    bins = F.ceil(F.col("shards") / BIN)
+    shards = scratch.save(dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("seats"), F.first(F.pmod("shard", bins)).alias("bin")), "shards")
+    parts = apportion(shards.groupBy("source", "bin").agg(F.sum("words").alias("words"), F.first("seats").alias("seats")), ["source"], "bin", "words", "seats")
+    parts = parts.select(F.col("source").alias("s"), F.col("bin").alias("b"), F.col("quota").alias("seats"))
+    shards = shards.drop("seats").join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))).drop("s", "b")
+    plan = apportion(shards, ["source", "bin"], "shard", "words", "seats")
     plan = plan.select(F.col("source").alias("s"), F.col("shard").alias("h"), "words", F.least(F.col("quota") * BLOCK, F.col("words") * MOST).alias("take"))
     plan = scratch.save(plan.withColumn("__draw", _number(F.lit(str(seed)), F.col("s"), F.col("h").cast("string"))).withColumn("start", F.expr(f"case when words > 0 then __draw % ceil(words / {BLOCK}) * {BLOCK} else 0 end")).drop("__draw"), "plan")
 

@@ -169,8 +169,9 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch) -> None:
     text = F.coalesce("html", F.lit(""))
     facts = [F.sha2(F.encode(text, "utf-8"), 256).alias("digest"), F.octet_length(text).alias("size")]
     long = pages.select(F.col("page_id").cast("bigint").alias("page_id"), *facts).where(F.col("page_id").isNotNull() & (F.col("size") >= LEAST_REVISIT)).select("page_id", "digest")
-    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # only digests and ids are shuffled; the pages of revisits are looked up
+    # only digests and ids are shuffled, first the least ids, which are written:
+    # the join can then split the pages of a payload that very many have
+    first = scratch.save(long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "first")
     revisits = scratch.save(long.join(first, "digest").where("page_id <> first").distinct(), "revisits")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     ids = revisits.select("page_id")

@@ -72,6 +72,44 @@ def test_apportion_is_by_highest_quotient(spark):
         assert got == seats_of, (weights, seats)
 
 
+def heap_seats(weights, seats):
+    """Seat by seat to the greatest quotient, ties to the least place."""
+    import heapq
+
+    out, heap = [0] * len(weights), [(-w, i) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    for _ in range(seats):
+        _, i = heapq.heappop(heap)
+        out[i] += 1
+        heapq.heappush(heap, (-weights[i] / (2 * out[i] + 1), i))
+    return out
+
+
+def test_apportion_with_dominant_weights_equals_a_heap(spark):
+    rng = random.Random(5)
+    cases = [([450.0] + [0.1] * 500, 500), ([450.0] + [0.9] * 500, 500), ([0.6] * 400 + [1000.0, 777.0], 1700), ([5.0] + [0.51] * 900, 460)]
+    cases += [([rng.expovariate(1) ** 4 + 1e-3 for _ in range(300)], n) for n in (7, 150, 3000)]
+    rows = [(g, i, w, n) for g, (ws, n) in enumerate(cases) for i, w in enumerate(ws)]
+    got = {}
+    for r in M.apportion(spark.createDataFrame(rows, "g int, k int, w double, n bigint"), ["g"], "k", "w", "n").collect():
+        got.setdefault(r.g, {})[r.k] = r.quota
+    for g, (ws, n) in enumerate(cases):
+        assert [got[g][i] for i in range(len(ws))] == heap_seats(ws, n), g
+
+
+def test_bins_of_shards_keep_the_targets(make, monkeypatch):
+    monkeypatch.setattr(M, "SHARD", 100)
+    monkeypatch.setattr(M, "BIN", 4)
+    rows = corpus()
+    taken, want = {}, {}
+    for r in M.mix(make(rows)).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        want[r.source] = (r.target, r.source_size)
+        assert 0 <= r.taken <= 3 * r.size
+    for s, (t, size) in want.items():
+        assert abs(taken[s] - t) <= M.BLOCK * (2 + size / 100), s
+
+
 def test_null_sources_come_last(make):
     out = M.mix(make([(1, "a " * 60, "x"), (2, "a " * 60, None)])).select("source", F.round("target").alias("t")).collect()
     assert {r.source: r.t for r in out} == {"x": 40.0, None: 80.0}
