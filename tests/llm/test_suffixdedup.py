@@ -29,7 +29,8 @@ def test_equals_brute_force(make):
 
 
 def test_hot_anchors_are_exact(make, monkeypatch):
-    monkeypatch.setattr(S, "HOT", 3)
+    monkeypatch.setattr(S, "ANCHOR_BYTES", 900)
+    monkeypatch.setattr(S, "HOT_PARTS", 8)
     rows = corpus()
     got = [tuple(r) for r in S.remove_repeats(make(rows)).collect()]
     assert sorted(got, key=key) == sorted(brute.repeats(rows), key=key)
@@ -74,9 +75,10 @@ def test_groups_list_all_occurrences(make):
     assert groups and all(len(g) == 1 and len(next(iter(g))) >= 200 for g in groups.values())
 
 
-@pytest.mark.parametrize("hot", (S.HOT, 1))
-def test_every_repeated_window_is_in_a_group(make, monkeypatch, hot):
-    monkeypatch.setattr(S, "HOT", hot)
+@pytest.mark.parametrize("most", (S.ANCHOR_BYTES, 1, 3000))
+def test_every_repeated_window_is_in_a_group(make, monkeypatch, most):
+    monkeypatch.setattr(S, "ANCHOR_BYTES", most)
+    monkeypatch.setattr(S, "HOT_PARTS", 16)
     rng = random.Random(15)
     text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
     copy, p, a, b, long = text(500), text(240), text(90), text(90), text(900)
@@ -97,3 +99,18 @@ def test_every_repeated_window_is_in_a_group(make, monkeypatch, hot):
             want.setdefault(t[k : k + S.LENGTH], set()).add((d, k))
     want = {w: places for w, places in want.items() if len(places) > 1}
     assert set(held) == set(want) and all(places in held[w] for w, places in want.items())
+
+
+def test_opening_by_aggregates_gives_the_groups_of_the_suffix_array(make, monkeypatch):
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    p, ends = text(230), [text(60) for _ in range(3)]
+    docs = [text(30) + p + rng.choice(ends)[: rng.randrange(20, 60)] + text(90) for _ in range(14)] + [p] * 3
+    found = []
+    for most in (S.ANCHOR_BYTES, 1, 2000):
+        monkeypatch.setattr(S, "ANCHOR_BYTES", most)
+        groups = {}
+        for r in S.maximal_repeats(make(list(enumerate(docs)))).collect():
+            groups.setdefault((r.anchor, r.number, r.length), set()).add((r.doc_id, r.start))
+        found.append(sorted((n, tuple(sorted(g))) for (_, _, n), g in groups.items()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 3
