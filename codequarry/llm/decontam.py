@@ -12,21 +12,26 @@ counted per diagonal band against the whole item, and each of its stretches of
 ``WINDOW`` (``RATE`` edits) and of ``PASSAGE`` code points (``SLIPS`` edits), at
 any offset, that reaches the bound is aligned.
 
+Items below ``LEAST`` code points leave no room for edits: they are found where
+they stand verbatim as whole words, by one automaton for all of them.
+
 Documents are scanned where they lie: nothing of them is shuffled.  The index of
-the benchmark is broadcast in blocks of at most ``BLOCK_CHARS`` code points, one
-scan of the documents for each, so its size is bounded whatever the benchmark's.
+the benchmark goes out in blocks of about ``BLOCK_CHARS`` code points, of which
+the driver holds one at a time; a larger benchmark takes one scan for each block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from codequarry.llm.textkernel import mix
+from codequarry.scratch import Scratch
 
 Q = 10
 WINDOW = 100
@@ -36,7 +41,7 @@ RATE = 0.06
 #: Shortest passage from inside a longer item that is a leak, and edits allowed in it.
 PASSAGE = 50
 SLIPS = 1
-#: Shorter items are no evidence of a leak and are not searched.
+#: Shorter items are searched verbatim, as whole words.
 LEAST = 30
 BLOCK_CHARS = 2_000_000
 CHUNK = 1 << 19
@@ -51,6 +56,13 @@ def code_points(text: str) -> np.ndarray:
     return np.where((points >= 65) & (points <= 90), points + 32, points).astype(np.uint32)
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def lowered(text: str) -> str:
+    return text.translate(_LOWER)
+
+
 def grams(points: np.ndarray) -> np.ndarray:
     """Hashes of all q-grams, by start."""
     n = len(points) - Q + 1
@@ -85,13 +97,18 @@ class Index:
     head: np.ndarray  # places of gram k in whole items: head[k] .. head[k + 1]
     source: np.ndarray
     spot: np.ndarray
+    short: dict[str, list[int]]  # items below LEAST, lower-cased
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Index | None:
         windows, ids, offsets, owner, whole = [], [], [], [], []
+        short: dict[str, list[int]] = {}
         for item, text in items:
             p = code_points(text or "")
             if len(p) < LEAST:
+                plain = lowered(text or "").strip()
+                if any(map(str.isalnum, plain)):
+                    short.setdefault(plain, []).append(item)
                 continue
             last = max(len(p) - WINDOW, 0)
             for at in sorted({*range(0, last, STRIDE), last}):
@@ -101,7 +118,8 @@ class Index:
                 owner.append(len(whole))
             whole.append(p)
         if not windows:
-            return None
+            none = np.zeros(0, np.int64)
+            return cls([], none, none, none.astype(np.uint64), np.zeros(1, np.int64), none, none, none, none, none, [], np.zeros(1, np.int64), none, none, short) if short else None
         g = [grams(w) for w in windows]
         gram = np.concatenate(g)
         window = np.repeat(np.arange(len(g)), [len(x) for x in g])
@@ -117,7 +135,19 @@ class Index:
         head = np.searchsorted(at[by], np.arange(len(distinct) + 1))
         source = np.repeat(np.arange(len(g)), [len(x) for x in g])[by]
         spot = np.concatenate([np.arange(len(x)) for x in g])[by]
-        return cls(windows, np.array(ids, np.int64), np.array(offsets), distinct, np.append(first, len(gram)), window[order], place[order], edits, need, np.array(owner), whole, head, source, spot)
+        return cls(windows, np.array(ids, np.int64), np.array(offsets), distinct, np.append(first, len(gram)), window[order], place[order], edits, need, np.array(owner), whole, head, source, spot, short)
+
+    def automaton(self):
+        """Finds all short items at once; None without any."""
+        if not self.short:
+            return None
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for plain, ids in self.short.items():
+            found.add_word(plain, (len(plain), ids))
+        found.make_automaton()
+        return found
 
     def bitmap(self) -> np.ndarray:
         have = np.zeros(MAP, bool)
@@ -171,6 +201,31 @@ def verbatim(pattern: np.ndarray, region: np.ndarray) -> tuple[int, int, int] |
     return None
 
 
+def verbatim_words(automaton, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, 0, start, end) of the short items that stand as whole words."""
+    for t, text in enumerate(texts):
+        plain = lowered(text)
+        for last, (size, ids) in automaton.iter(plain):
+            start, end = last + 1 - size, last + 1
+            glued = start and plain[start].isalnum() and plain[start - 1].isalnum() or end < len(plain) and plain[last].isalnum() and plain[end].isalnum()
+            if not glued:
+                for item in ids:
+                    yield t, item, 0, start, end
+
+
+class Search:
+    """A block's index, made ready once in a task."""
+
+    def __init__(self, index: Index):
+        self.index, self.have, self.short = index, index.bitmap(), index.automaton()
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        if self.short is not None:
+            yield from verbatim_words(self.short, texts)
+        if self.index.windows:
+            yield from search(self.index, self.have, texts)
+
+
 def search(index: Index, have: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, edits, start, end) of every window found, then of the
     passages of items of which the text holds no window."""
@@ -280,7 +335,7 @@ def _passages(index: Index, points: np.ndarray, offsets: np.ndarray, near: np.nd
 
 def _scan(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = index.bitmap()
+        look = Search(index)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             at = 0
@@ -290,7 +345,7 @@ def _scan(index: Index):
                     own.append(texts[at].as_py() or "")
                     size += len(own[-1])
                     at += 1
-                rows = [(ids[first + t], i, e, s, z) for t, i, e, s, z in search(index, have, own)]
+                rows = [(ids[first + t], i, e, s, z) for t, i, e, s, z in look(own)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "edits", "start", "end"])
 
@@ -316,20 +371,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A document leaks an item when some region of it is within the edit budget
     (``RATE`` of the length) of the item, if it has at most ``WINDOW`` code
     points, or else of any ``WINDOW`` code points of it, or within ``SLIPS``
-    edits of any ``PASSAGE`` code points of it, A-Z lower-cased.
-    Null and empty texts leak nothing; items without id or text, or shorter
-    than ``LEAST`` code points, are not searched.  Repeated rows give repeated
-    results.
+    edits of any ``PASSAGE`` code points of it, A-Z lower-cased.  An item below
+    ``LEAST`` code points is leaked where it stands verbatim, not glued to other
+    letters or digits.
+    Null and empty texts leak nothing; items without id, letters or digits are
+    not searched.  Repeated rows give repeated results.
     """
-    out = None
+    scratch, schema, done, last = Scratch(docs.sparkSession, "decontam"), "doc_id bigint, item_id bigint, edits bigint, start bigint, end bigint", [], None
     for items in _blocks(benchmark):
+        if last is not None:  # written, so that no two indexes are in one plan
+            done.append(scratch.save(last, f"block{len(done)}"))
         index = Index.of(items)
-        if index is not None:
-            rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan(index), "doc_id bigint, item_id bigint, edits bigint, start bigint, end bigint")
-            out = rows if out is None else out.union(rows)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, edits bigint, start bigint, end bigint")
-    return out
+        last = None if index is None else docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan(index), schema)
+    every = done if last is None else [*done, last]
+    return reduce(DataFrame.union, every) if every else docs.sparkSession.createDataFrame([], schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -342,16 +397,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak nothing, with all their columns.
 
-    The decision is made on each row where it lies: no join, no shuffle.
+    The decision is made on each row where it lies: no join, no shuffle.  With
+    several blocks each one's rest is written for the next.
     """
-    out = docs
+    out, scratch, n = docs, Scratch(docs.sparkSession, "decontam"), 0
     for items in _blocks(benchmark):
+        if n:
+            out = scratch.save(out, f"kept{n}")
         index = Index.of(items)
         if index is None:
             continue
+        n += 1
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            have = index.bitmap()
+            look = Search(index)
             for batch in batches:
                 texts, keep, at = batch.column("text"), np.ones(batch.num_rows, bool), 0
                 while at < batch.num_rows:
@@ -360,7 +419,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         own.append(texts[at].as_py() or "")
                         size += len(own[-1])
                         at += 1
-                    for t, *_ in search(index, have, own):
+                    for t, *_ in look(own):
                         keep[first + t] = False
                 yield batch.filter(pa.array(keep))
 

@@ -38,32 +38,27 @@ select t.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigin
 
 
 def _rank(name: str, edges: str, seed: str) -> str:
-    """Personalised PageRank in rounds, each a CTE."""
-    d = urlfilter.DAMPING
-    parts = [
+    """Personalised PageRank as a sum over walks, scaled to 1."""
+    d, rounds = urlfilter.DAMPING, math.ceil(math.log(urlfilter.TOLERANCE * (1 - urlfilter.DAMPING)) / math.log(urlfilter.DAMPING))
+    return ", ".join([
         f"{name}_out as (select src, sum(weight) as total from {edges} group by 1)", f"{name}_steps as (select e.src, e.dst, e.weight / o.total as share from {edges} e join {name}_out o using (src))",
-        f"{name}_seed as (select host, {seed} / sum({seed}) over () as seed from hosts where {seed} > 0)", f"{name}_0 as (select host, seed as score from {name}_seed)",
-    ]
-    for k in range(urlfilter.ROUNDS):
-        parts.append(
-            f"{name}_{k + 1} as (select host, sum(part) as score from (select dst as host, score * share * {d} as part from {name}_{k} join {name}_steps on host = src where exists (select 1 from {name}_steps)"
-            f" union all select host, seed * case when exists (select 1 from {name}_steps) then 1 - {d} else 1.0 end from {name}_seed) group by 1)"
-        )
-    return ", ".join(parts)
+        f"{name}_walk(k, host, part) as (select 0, host, {seed} / sum({seed}) over () from hosts where {seed} > 0 union all select any_value(k) + 1, dst, sum(part * share) * {d} from {name}_walk join {name}_steps on host = src where k < {rounds} group by dst)",
+        f"{name} as (select host, round(sum(part) / (select sum(part) from {name}_walk), 12) as score from {name}_walk group by 1)",
+    ])
 
 
 _RULE = " ".join(
     f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{{{k}}}'" for k, r in sorted(enumerate(urlfilter.RULES), key=lambda x: -len(x[1].pattern))
 )
 _HOST = "translate(regexp_extract(coalesce({0}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-OP3 = f"""with a as (select page_id, {_HOST.format("url")} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+OP3 = f"""with recursive a as (select page_id, {_HOST.format("url")} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
 b as (select *, case {_RULE.format(*[r.pattern for r in urlfilter.RULES])} end as rule, case {_RULE.format(*[r.verdict for r in urlfilter.RULES])} end as verdict from a),
 hosts as (select host, count_if(verdict = 'allow')::double as allowed, count_if(verdict = 'block')::double as blocked from b where host <> '' group by 1),
-x as (select {_HOST.format("url")} as src, unnest(regexp_extract_all(coalesce(html, ''), '{urlfilter.LINK.replace(chr(39), chr(39) * 2)}', 1)) as href from pages),
+x as (select {_HOST.format("url")} as src, regexp_replace(unnest(regexp_extract_all(coalesce(html, ''), '{urlfilter.LINK.replace(chr(39), chr(39) * 2)}', 1)), '^//', 'http://') as href from pages),
 e as (select src, {_HOST.format("href")} as dst, count(*)::double as weight from x where src <> {_HOST.format("href")} and src <> '' and {_HOST.format("href")} <> '' group by 1, 2),
 back as (select dst as src, src as dst, weight from e), {_rank("t", "e", "allowed")}, {_rank("u", "back", "blocked")}
 select page_id, b.host, path, rule, coalesce(verdict, case when coalesce(u.score, 0) > coalesce(t.score, 0) then 'block' else 'allow' end) as verdict
-from b left join t_{urlfilter.ROUNDS} t on t.host = b.host left join u_{urlfilter.ROUNDS} u on u.host = b.host"""
+from b left join t on t.host = b.host left join u on u.host = b.host"""
 
 OP6 = """with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
 f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1)

@@ -125,15 +125,17 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, length: np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents.
+    """Fit on at most ``sample`` labelled rows.
 
-    Without labels of both classes, or without a telling feature, the model
+    Of the rows that repeat a doc_id one takes part, so ``sample`` bounds what
+    is gathered whatever the tables hold; the fit is the same however they are
+    partitioned.  Without labels of both classes, or without a telling feature, the model
     has no weights and calls nothing toxic.
     """
     nothing = Model(np.zeros(0, np.int64), np.zeros(1), np.array([40.0] * (GRADES - 1)))
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = scratch.save(rows, "sample")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = scratch.save(rows.groupBy("doc_id").agg(F.max_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"), F.max(F.col("toxic").cast("int")).alias("toxic")), "sample")
     sizes = rows.agg(F.coalesce(F.count_if(F.col("toxic") > 0), F.lit(0)).alias("bad"), F.coalesce(F.count_if(F.col("toxic") <= 0), F.lit(0)).alias("good")).first()
     bad, good = sizes["bad"], sizes["good"]
     if not bad or not good:
@@ -149,22 +151,21 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SA
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column("toxic").to_pylist()
             for first, n, row, feature, value, length in model.vectors(batch.column("text")):
                 cut = np.searchsorted(row, np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(toxic[first : first + n], pa.int32()), pa.array(length), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feature)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(value))],
-                    ["toxic", "length", "feature", "value"],
+                    [batch.column("doc_id").slice(first, n), batch.column("toxic").slice(first, n), pa.array(length), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feature)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(value))],
+                    ["doc_id", "toxic", "length", "feature", "value"],
                 )
 
-    got = rows.mapInArrow(vectors, "toxic int, length double, feature array<bigint>, value array<double>").toArrow()
+    # rows come in any order: sorted, so that sums, and so the fit, are the same
+    got = rows.mapInArrow(vectors, "doc_id bigint, toxic int, length double, feature array<bigint>, value array<double>").toArrow().sort_by("doc_id")
     toxic = got.column("toxic").to_numpy() > 0
     length = got.column("length").to_numpy()
     feature, value = got.column("feature").combine_chunks(), got.column("value").combine_chunks()
     many = np.asarray(feature.value_lengths().to_numpy(zero_copy_only=False))
     row = np.repeat(np.arange(len(many)), many)
     feature, value = feature.flatten().to_numpy(), value.flatten().to_numpy()
-    # rows come in any order; sort them so that sums, and so the fit, are the same
     hits = np.bincount(row, weights=np.expm1(value), minlength=len(many))
     typical = np.median(hits[toxic & (hits > 0)]) if (toxic & (hits > 0)).any() else 1.0
     grade = np.where(toxic, np.where(hits >= max(typical, 1.0), 2, 1), 0)

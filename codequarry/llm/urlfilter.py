@@ -42,8 +42,10 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-ROUNDS = 12
-LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]*)"""
+#: Share of the mass that may still be on its way when the walk ends.
+TOLERANCE = 1e-4
+#: Links with a host: ``scheme://host/...`` or ``//host/...``; others stay on their host.
+LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 
 
 def host_of(url: Column) -> Column:
@@ -66,30 +68,37 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, damping: float = DAMPING) -> DataFrame:
     """(host, score): personalised PageRank over (src, dst, weight) from
-    (host, seed).  A fixed number of rounds; mass at hosts without links out
-    returns to nobody.  Seeds are scaled to sum 1; without seeds, no rows."""
+    (host, seed).
+
+    The score is the sum over all walks from the seeds: each round moves the
+    mass of the last one over the links, ``damping`` of it, until at most
+    ``TOLERANCE`` of all mass can still arrive.  Mass at hosts without links out
+    returns to the seeds in their shares, which only scales the sum, so scores
+    are scaled to sum 1 at the end.  Without seeds, no rows.
+    """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     steps = scratch.save(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), f"{name}-steps")
     total = seeds.agg(F.sum("seed").alias("all")).first()["all"]
-    start = scratch.save(seeds.where("seed > 0").select("host", (F.col("seed") / F.lit(float(total or 1.0))).alias("seed")), f"{name}-seeds")
-    score = start.select("host", F.col("seed").alias("score"))
-    if steps.isEmpty() or start.isEmpty():
-        return score
-    for k in range(rounds):
-        moved = score.join(steps, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("part"))
-        back = start.select("host", (F.col("seed") * (1 - damping)).alias("part"))
-        score = moved.union(back).groupBy("host").agg(F.sum("part").alias("score"))
-        if k % 3 == 2 or k == rounds - 1:
-            score = scratch.save(score, f"{name}-{k}")
-    return score
+    front = scratch.save(seeds.where("seed > 0").select("host", (F.col("seed") / F.lit(float(total or 1.0))).alias("part")), f"{name}-walk/0")
+    mass, masses = front.agg(F.sum("part")).first()[0], []
+    while mass:
+        masses.append(mass)
+        if mass * damping / (1 - damping) <= TOLERANCE:
+            break
+        moved = front.join(steps, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("part") * F.col("share")) * damping).alias("part"))
+        front = scratch.save(moved, f"{name}-walk/{len(masses)}")
+        mass = front.agg(F.sum("part")).first()[0]
+    walks = edges.sparkSession.read.schema("host string, part double").parquet(*[f"{scratch.root}/{name}-walk/{k}" for k in range(max(len(masses), 1))])
+    return walks.groupBy("host").agg(F.round(F.sum("part") / (sum(masses) or 1.0), 12).alias("score"))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): links between different hosts, from absolute hrefs."""
-    links = pages.where("html like '%://%'").select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("href"))
-    return links.select("src", host_of(F.col("href")).alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    """(src, dst, weight): links between different hosts; a link without a scheme
+    (``//host/``) counts, one without a host stays on its own."""
+    links = pages.where("html like '%//%'").select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("href"))
+    return links.select("src", host_of(F.regexp_replace("href", "^//", "http://")).alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
 def judge(pages: DataFrame, rules=RULES, label: str = "urls") -> DataFrame:

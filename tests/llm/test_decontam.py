@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -24,9 +25,13 @@ def leaks(docs, items):
     out = set()
     for d, t in docs:
         for i, text in items:
-            if not text or len(text) < D.LEAST or not t:
+            if not text or not t:
                 continue
             p, hay = lower(text), lower(t)
+            if len(text) < D.LEAST:
+                if any(map(str.isalnum, text)) and re.search(rf"(?<![^\W_]){re.escape(p.strip())}(?![^\W_])", hay):
+                    out.add((d, i))
+                continue
             last = max(len(p) - D.WINDOW, 0)
             for at in {*range(0, last, D.STRIDE), last}:
                 w = p[at : at + D.WINDOW]
@@ -53,6 +58,8 @@ def corpus():
     for n, k in enumerate((0, 0, 1, 2, 3, 4, 5, 6, 8, 12, 20, 40)):
         docs.append((100 + n, text(30) + damaged(items[n % 8][1], k) + text(30)))
     docs += [(200, items[0][1].upper()), (201, items[1][1][: D.LEAST - 5]), (202, (items[2][1] + " ") * 5), (203, None), (204, ""), (205, items[3][1]), (206, text(5000) + items[4][1])]
+    items += [(60, "Paris, France"), (61, "  x7 "), (62, "...")]
+    docs += [(400, "is it paris, FRANCE?"), (401, "paris, frances"), (402, "ax7 x77 7x7"), (403, "(X7)"), (404, "..."), (405, "a short story")]
     docs += [(300 + n, text(10) + items[5][1][20:140] + text(10)) for n in range(3)]
     return docs, items
 
