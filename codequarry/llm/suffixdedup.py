@@ -44,10 +44,10 @@ from codequarry.scratch import Scratch
 LENGTH = 200
 GRAM = 48
 WIDE = LENGTH - GRAM + 1
-#: Bytes of contexts in a shard, about; its suffixes take up to 100 times that.
-SHARD_BYTES = 1 << 19
+#: Bytes of contexts in a shard, about; the arrays over its suffixes take some 50 times that.
+SHARD_BYTES = 1 << 20
 #: An anchor with more bytes of different contexts is opened by aggregates.
-ANCHOR_BYTES = SHARD_BYTES
+ANCHOR_BYTES = 4 << 20
 #: A context with more than one of so many parts of all runs is dealt to several tasks.
 HOT_PARTS = 4096
 A_SCHEMA = "anchor bigint, id bigint, key bigint, at int, n int, context bigint"
@@ -102,18 +102,28 @@ def enhanced_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 
     ``lcp[i]`` is that of the suffixes in places i - 1 and i (0 at the ends).
     """
-    longest = int((ends - starts).max())
-    wide = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(longest, np.uint8)), longest)
-    matrix = wide[starts]
-    for lo in range(0, len(starts), 16384):
-        part = slice(lo, lo + 16384)
-        matrix[part][np.arange(longest) >= (ends - starts)[part, None]] = 0
-    order = np.argsort(matrix.view(f"S{longest}").ravel(), kind="stable")
-    lcp = np.zeros(len(starts) + 1, np.int64)
-    for lo in range(1, len(starts), 65536):
-        a, b = order[lo - 1 : lo + 65535], order[lo : lo + 65536]
-        a = a[: len(b)]
-        differ = matrix[a] != matrix[b]
+    n, longest = len(starts), int((ends - starts).max())
+    padded = np.append(data, np.zeros(longest + 8, np.uint8))
+    # sort by eight bytes at a time, places of equals refined until none are
+    # left: a few words a suffix are held, never the suffixes side by side
+    order, rank = np.arange(n), np.zeros(n, np.int64)
+    for at in range(0, longest, 8):
+        key = np.zeros(n, np.uint64)
+        for k in range(at, at + 8):
+            key = (key << np.uint64(8)) | np.where(starts + k < ends, padded[np.minimum(starts + k, len(padded) - 1)], 0).astype(np.uint64)
+        order = np.lexsort((key, rank))
+        new = np.append(0, (rank[order[1:]] != rank[order[:-1]]) | (key[order[1:]] != key[order[:-1]]))
+        rank[order] = np.cumsum(new)
+        if new.sum() == n - 1:
+            break
+    # suffixes that differ in nothing but trailing zeros: the shorter one first
+    order = np.lexsort((ends - starts, rank))
+    lcp = np.zeros(n + 1, np.int64)
+    wide = np.lib.stride_tricks.sliding_window_view(padded, longest)
+    for lo in range(1, n, 16384):
+        b = order[lo : lo + 16384]
+        a = order[lo - 1 : lo - 1 + len(b)]
+        differ = wide[starts[a]] != wide[starts[b]]
         same = np.where(differ.any(axis=1), differ.argmax(axis=1), longest)
         lcp[lo : lo + len(b)] = np.minimum(same, np.minimum((ends - starts)[a], (ends - starts)[b]))
     return order, lcp
