@@ -1,71 +1,158 @@
-"""Writes: keyed merges on Parquet snapshots with a pointer that flips last.
-
-A table is a folder of snapshots and a ``current`` pointer.  A merge writes a
-new snapshot and only then the pointer, so readers see the old or the new table
-and a failed write leaves the old one.  One writer at a time.
+"""Writes: keyed merges on Parquet parts under numbered manifests.
+
+A table is cut into buckets by one column; a manifest lists the folders of each
+bucket.  A write puts new folders beside the old ones and then a manifest of the
+next number, renamed into place: readers see the table of the highest number,
+old or new, whatever step a writer stops at.  Only the buckets that a change
+touches are written again.  A second writer finds its number taken and fails;
+it never overwrites.  The folders of the manifest before stay for readers whose
+plans still name them; older ones go.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from codequarry.schema import BUCKET_BY, KEYS, TABLES
+
+#: Folders of a bucket beyond which an append writes it anew.
+MOST_PARTS = 16
+
 
-from codequarry.schema import KEYS, TABLES
+class Conflict(Exception):
+    """Another writer committed first; read again and retry."""
 
 
 class Store:
     """Tables of ``codequarry.schema`` below a path that executors share."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def exists(self, name: str) -> bool:
-        p, fs = self._fs(f"{self.root}/{name}/current")
-        return fs.exists(p)
+    def _names(self, path: str) -> list[str]:
+        p, fs = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    # manifests ----------------------------------------------------------------
+    def version(self, name: str) -> int:
+        """Number of the current manifest, 0 without one."""
+        return max((int(n) for n in self._names(f"{self.root}/{name}/versions") if n.isdigit()), default=0)
+
+    def _manifest(self, name: str, version: int) -> dict:
+        if not version:
+            return {"buckets": self.buckets, "parts": []}
+        p, fs = self._fs(f"{self.root}/{name}/versions/{version:012d}")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, name: str, base: int, buckets: int, parts: list[list]) -> None:
+        """Make ``parts`` the table, if it is still at version ``base``."""
+        folder = f"{self.root}/{name}/versions"
+        staged, fs = self._fs(f"{folder}/staged-{uuid.uuid4().hex}")
+        target, _ = self._fs(f"{folder}/{base + 1:012d}")
+        stream = fs.create(staged, True)
+        stream.write(bytearray(json.dumps({"buckets": buckets, "parts": parts}).encode()))
+        stream.close()
+        if self.version(name) != base or not fs.rename(staged, target):
+            fs.delete(staged, False)
+            raise Conflict(f"{name} is not at version {base} any more")
+        self._clean(name, base + 1)
+
+    def _clean(self, name: str, version: int) -> None:
+        """Remove what neither this manifest nor the one before names."""
+        kept = {f.partition("/")[0] for v in (version, version - 1) if v > 0 for _, f in self._manifest(name, v)["parts"]}
+        for n in self._names(f"{self.root}/{name}/versions"):
+            if n.isdigit() and int(n) < version - 1:
+                p, fs = self._fs(f"{self.root}/{name}/versions/{n}")
+                # folders are written before their manifest: only those of older
+                # manifests are known to be no writer's work in progress
+                for folder in {f.partition("/")[0] for _, f in self._manifest(name, int(n))["parts"]} - kept:
+                    fs.delete(self._fs(f"{self.root}/{name}/data/{folder}")[0], True)
+                fs.delete(p, False)
+
+    # parts --------------------------------------------------------------------
+    def _bucket(self, name: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(BUCKET_BY[name]).cast("string")), F.lit(buckets)).cast("int")
+
+    def _write(self, name: str, rows: DataFrame, buckets: int) -> list[list]:
+        fields = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
+        folder = uuid.uuid4().hex
+        rows.select(*fields).withColumn("bucket_", self._bucket(name, buckets)).repartition("bucket_").write.partitionBy("bucket_").parquet(f"{self.root}/{name}/data/{folder}")
+        return [[int(n.partition("=")[2]), f"{folder}/{n}"] for n in self._names(f"{self.root}/{name}/data/{folder}") if n.startswith("bucket_=")]
 
-    def _snapshot(self, name: str) -> str:
-        return self.spark.read.text(f"{self.root}/{name}/current").first()["value"]
+    def _load(self, name: str, parts: list[list]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{name}/data/{f}" for _, f in parts])
+
+    # tables -------------------------------------------------------------------
+    def exists(self, name: str) -> bool:
+        return self.version(name) > 0
 
     def create(self, name: str) -> bool:
         """Make an empty table; False if it is there already."""
         if self.exists(name):
             return False
-        self.replace(name, self.spark.createDataFrame([], TABLES[name]))
+        self._commit(name, 0, self.buckets, [])
         return True
 
     def read(self, name: str) -> DataFrame:
-        if not self.exists(name):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{self._snapshot(name)}")
+        return self._load(name, self._manifest(name, self.version(name))["parts"])
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Write a snapshot, then point to it."""
-        fields = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
-        old = self._snapshot(name) if self.exists(name) else None
-        new = f"s-{uuid.uuid4().hex}"
-        rows.select(*fields).write.parquet(f"{self.root}/{name}/{new}")
-        pointer, fs = self._fs(f"{self.root}/{name}/current")
-        staged, _ = self._fs(f"{self.root}/{name}/next")
-        self.spark.createDataFrame([(new,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/next")
-        fs.delete(pointer, True)
-        fs.rename(staged, pointer)
-        if old:
-            fs.delete(self._fs(f"{self.root}/{name}/{old}")[0], True)
+        """All rows anew."""
+        base = self.version(name)
+        self._commit(name, base, self.buckets, self._write(name, rows, self.buckets))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, self.read(name).unionByName(rows, allowMissingColumns=True))
+        """More rows, beside those there are."""
+        base = self.version(name)
+        m = self._manifest(name, base)
+        held = [b for b, _ in m["parts"]]
+        if any(held.count(b) >= MOST_PARTS for b in set(held)):
+            self.replace(name, self.read(name).unionByName(rows, allowMissingColumns=True))
+        else:
+            self._commit(name, base, m["buckets"], m["parts"] + self._write(name, rows, m["buckets"]))
+
+    def change(self, name: str, new: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """Remove the rows whose columns match ``gone``, then put ``new`` over
+        the rows of the same key; one commit.
+
+        Buckets without a row of either stay as they are; where ``gone`` lacks
+        the bucket column, all are looked through.
+        """
+        base = self.version(name)
+        m = self._manifest(name, base)
+        touched: set[int] = set()
+        for df in (new, gone):
+            if df is not None and BUCKET_BY[name] in df.columns:
+                touched |= {r[0] for r in df.select(self._bucket(name, m["buckets"])).distinct().collect()}  # at most one row a bucket
+            elif df is not None:
+                touched |= set(range(m["buckets"]))
+        rows = self._load(name, [p for p in m["parts"] if p[0] in touched])
+        if gone is not None:
+            rows = rows.join(gone.distinct(), gone.columns, "left_anti")
+        if new is not None:
+            rows = merged(rows, new, KEYS[name])
+        rest = [p for p in m["parts"] if p[0] not in touched]
+        self._commit(name, base, m["buckets"], rest + (self._write(name, rows, m["buckets"]) if touched else []))
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, merged(self.read(name), rows, KEYS[name]))
+        self.change(name, new=rows)
 
     def delete(self, name: str, keys: DataFrame) -> None:
         """Remove rows whose key columns (those of ``keys``) are listed."""
-        self.replace(name, self.read(name).join(keys.distinct(), keys.columns, "left_anti"))
+        self.change(name, gone=keys)
 
     def upsert_points(self, rows: DataFrame) -> None:
         """Vectors of one dimension only, none empty."""
@@ -136,13 +223,21 @@ def finished_run(run: DataFrame, status: str, error=None, **counts: int) -> Data
     return out
 
 
+def oldest_pending(jobs: DataFrame, generation_id: str, limit: int) -> DataFrame:
+    """The oldest pending jobs of a generation: each task keeps ``limit`` rows."""
+    return jobs.where((F.col("generation_id") == generation_id) & (F.col("status") == "pending")).orderBy("created_at", "id").limit(limit)
+
+
+def claimed(jobs: DataFrame) -> DataFrame:
+    """The rows as they are once claimed."""
+    return jobs.withColumn("attempts", F.col("attempts") + 1).withColumn("status", F.lit("running"))
+
+
 def claim_jobs(jobs: DataFrame, generation_id: str, limit: int) -> DataFrame:
-    """Jobs after claiming the oldest pending ones."""
-    order = W.partitionBy("generation_id", "status").orderBy("created_at", "id")
-    mine = (F.col("generation_id") == generation_id) & (F.col("status") == "pending")
-    rows = jobs.withColumn("__nth", F.when(mine, F.row_number().over(order)))
-    taken = mine & (F.col("__nth") <= limit)
-    return rows.withColumn("attempts", F.when(taken, F.col("attempts") + 1).otherwise(F.col("attempts"))).withColumn("status", F.when(taken, "running").otherwise(F.col("status"))).drop("__nth")
+    """Jobs after claiming the oldest pending ones (``limit`` ids are broadcast)."""
+    taken = F.broadcast(oldest_pending(jobs, generation_id, limit).select("id").withColumn("__taken", F.lit(True)))
+    rows = jobs.join(taken, "id", "left")
+    return rows.withColumn("attempts", F.when(F.col("__taken"), F.col("attempts") + 1).otherwise(F.col("attempts"))).withColumn("status", F.when(F.col("__taken"), "running").otherwise(F.col("status"))).select(*jobs.columns)
 
 
 def requeue(jobs: DataFrame, current: DataFrame) -> DataFrame:

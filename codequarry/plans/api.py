@@ -77,7 +77,8 @@ class Engine:
         new = parser.facts(records, stamped.select("path", "id", "repository_id"), run_id, parser_version)
         gone = old.join(files.select("path"), "path", "left_anti").select(F.col("id").alias("file_id"))
         changed = old.join(todo.select("path"), "path", "left_semi").select(F.col("id").alias("file_id"))
-        keep = lambda name, rows: st.replace_file_facts(self.table(name), rows, changed, gone)
+        # ids of files whose facts go; those of other repositories are not read
+        out = scratch.save(gone.union(changed).distinct(), "out")
         stamp = lambda df: df.withColumn("index_run_id", F.lit(run_id)).withColumn("parser_version", F.lit(parser_version))
 
         changes = fresh.diff(old.select("path", "content_hash"), files.select("path", "content_hash"))
@@ -88,7 +89,9 @@ class Engine:
         symbols = scratch.save(new["symbols"], "symbols")
         raw = scratch.save(new["calls"].withColumnRenamed("id", "call_id"), "raw")
         calls = scratch.save(resolve.callees(raw, symbols), "local")
-        known = scratch.save(keep("symbols", symbols.drop("path")).select("id", "file_id", "name", "qualified_name"), "known")
+        mine = self.own("symbols")
+        left = mine.join(out, "file_id", "left_semi").select(F.col("id").alias("caller_symbol_id"))
+        known = scratch.save(st.replace_file_facts(mine, symbols.drop("path"), out, out).select("id", "file_id", "name", "qualified_name"), "known")
         rust = todo.where("language = 'rust'").select(F.col("id").alias("file_id"))
         open_ = calls.where("resolution_status = 'unresolved'").join(rust, "file_id", "left_semi").select(*raw.columns)
         across = scratch.save(resolve.callees(scratch.save(open_, "open"), known, across_files=True), "across")
@@ -100,21 +103,18 @@ class Engine:
         deps = stamp(manifests.dependencies(todo.select(F.col("id").alias("file_id"), "path", "content"), self.repository_id))
 
         self.store.append("file_index_events", events)
-        old_calls = self.table("calls").join(self.table("symbols").select(F.col("id").alias("caller_symbol_id"), "file_id"), "caller_symbol_id", "left")
-        self.store.replace("calls", _relinked(scratch.save(st.replace_file_facts(old_calls, calls, changed, gone), "merged"), known))
-        self.store.replace("symbols", keep("symbols", symbols.drop("path")))
-        self.store.replace("chunks", keep("chunks", new["chunks"]))
-        self.store.replace("symbol_references", keep("symbol_references", refs))
-        self.store.replace("tests", keep("tests", new["tests"]))
-        self.store.replace("dependencies", keep("dependencies", deps))
-        others = self.table("files").where(F.col("repository_id") != self.repository_id)
-        mine = st.replace_file_facts(old.withColumn("file_id", F.col("id")), stamped.withColumn("file_id", F.col("id")), changed, gone)
-        self.store.replace("files", others.unionByName(mine, allowMissingColumns=True))
+        lost = scratch.save(left, "lost")
+        moved = scratch.save(_relinked(self.table("calls").join(lost, "caller_symbol_id", "left_anti"), known), "moved")
+        self.store.change("calls", new=calls.unionByName(moved, allowMissingColumns=True), gone=lost)
+        for name, rows in (("symbols", symbols.drop("path")), ("chunks", new["chunks"]), ("symbol_references", refs), ("tests", new["tests"]), ("dependencies", deps)):
+            self.store.change(name, new=rows, gone=out)
+        self.store.change("files", new=stamped, gone=out.select(F.col("file_id").alias("id")))
         self._relate()
         if self.ref_id is not None:
             now = self.table("files").where(F.col("repository_id") == self.repository_id)
             self.store.upsert("ref_files", st.link_files(self.ref_id, now, run_id))
-            self.store.replace("ref_files", st.remove_missing_ref_files(self.table("ref_files"), self.ref_id, now))
+            left = self.table("ref_files").where(F.col("repository_ref_id") == self.ref_id).join(now.select("path"), "path", "left_anti")
+            self.store.delete("ref_files", left.select("repository_ref_id", "path"))
         embedded = 0
         if semantic:
             every = parser.extract(found).where("record_kind = 'chunk'")
@@ -123,19 +123,27 @@ class Engine:
             embedded = self.table("chunk_embeddings").count()
         return {"files_seen": files.count(), "files_indexed": self.table("files").where(F.col("index_run_id") == run_id).count(), "chunks_embedded": embedded}
 
+    def own(self, name: str) -> DataFrame:
+        """Facts of this repository's files (column file_id)."""
+        files = self.table("files").where(F.col("repository_id") == self.repository_id).select(F.col("id").alias("file_id"))
+        return self.table(name).join(files, "file_id", "left_semi")
+
     def _relate(self) -> None:
-        """Facts that join other facts: dependency usages and test targets."""
-        files = self.table("files").select(F.col("id").alias("file_id"), "path")
-        imports = self.table("symbol_references").where("reference_kind = 'import'").select(F.col("id").alias("reference_id"), "file_id", "source_symbol_id", "line", "confidence", paths.import_path(F.col("reference_text")).alias("import_path")).where("import_path is not null")
-        order = W.orderBy("manifest_path", "dependency_name", "id")
-        deps = self.table("dependencies").withColumn("ordinal", F.row_number().over(order)).select(F.col("id").alias("dependency_id"), "ordinal", "package_name", "dependency_name")
+        """Facts that join other facts of the same repository: dependency usages
+        and test targets."""
+        files = self.table("files").where(F.col("repository_id") == self.repository_id).select(F.col("id").alias("file_id"), "path")
+        imports = self.own("symbol_references").where("reference_kind = 'import'").select(F.col("id").alias("reference_id"), "file_id", "source_symbol_id", "line", "confidence", paths.import_path(F.col("reference_text")).alias("import_path")).where("import_path is not null")
+        order = W.partitionBy("repository_id").orderBy("manifest_path", "dependency_name", "id")
+        deps = self.own("dependencies").withColumn("ordinal", F.row_number().over(order)).select(F.col("id").alias("dependency_id"), "ordinal", "package_name", "dependency_name")
         used = resolve.import_usages(imports, deps).join(imports.select("reference_id", "file_id", "source_symbol_id", "line"), "reference_id")
         usages = used.select(ids.stable_id(F.col("reference_id"), F.col("dependency_id")).alias("id"), F.lit(self.repository_id).alias("repository_id"), "dependency_id", "file_id", "source_symbol_id", F.lit("import").alias("usage_kind"), "import_path", "referenced_symbol", "line", "confidence", F.lit("import_root_matches_manifest").alias("reason"))
-        self.store.replace("dependency_usages", usages)
-        symbols = self.table("symbols").join(files, "file_id")
-        aims = resolve.test_targets(self.table("tests"), symbols, self.table("calls"))
+        here = self.spark.createDataFrame([(self.repository_id,)], "repository_id string")
+        self.store.change("dependency_usages", new=usages, gone=here)
+        symbols = self.own("symbols").join(files, "file_id")
+        calls = self.table("calls").join(symbols.select(F.col("id").alias("caller_symbol_id")), "caller_symbol_id", "left_semi")
+        aims = resolve.test_targets(self.own("tests"), symbols, calls)
         rows = aims.withColumn("id", ids.stable_id(F.col("test_id"), F.col("relationship_kind"), F.col("target_symbol_id"), F.col("target_file_id"))).withColumn("repository_id", F.lit(self.repository_id)).withColumn("reason", F.col("relationship_kind"))
-        self.store.replace("test_targets", rows)
+        self.store.change("test_targets", new=rows, gone=here)
 
     # questions ----------------------------------------------------------------
     def find_symbol(self, query: str, limit: int | None = None) -> DataFrame:
@@ -227,13 +235,12 @@ class Engine:
 
 
 def _relinked(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls with those resolved again whose target went with a changed file
-    (ids follow from content, so a changed file has new symbols)."""
-    lost = calls.where("callee_symbol_id is not null").join(symbols.select(F.col("id").alias("callee_symbol_id")), "callee_symbol_id", "left_anti")
+    """Calls by ``symbols`` whose target is not among them any more, resolved
+    again (ids follow from content, so a changed file has new symbols)."""
     caller = symbols.select(F.col("id").alias("caller_symbol_id"), F.col("qualified_name").alias("caller_name"), "file_id")
+    lost = calls.where("callee_symbol_id is not null").join(symbols.select(F.col("id").alias("callee_symbol_id")), "callee_symbol_id", "left_anti")
     open_ = lost.select(F.col("id").alias("call_id"), "caller_symbol_id", "callee_text", "call_line", "index_run_id", "parser_version").join(caller, "caller_symbol_id")
-    again = resolve.callees(open_, symbols, across_files=True).withColumnRenamed("call_id", "id")
-    return calls.join(lost.select("id"), "id", "left_anti").unionByName(again, allowMissingColumns=True)
+    return resolve.callees(open_, symbols, across_files=True).withColumnRenamed("call_id", "id")
 
 
 #: Operation -> method of ``Engine``.

@@ -60,8 +60,8 @@ def embed_chunks(store: Store, texts: DataFrame, repository_id: str, model: str
         ids.stable_id(F.col("chunk_id"), F.col("semantic_layer"), F.col("embedding_model")).alias("id"), "repository_id", "file_id", "chunk_id", "semantic_layer", "embedding_model", "embedding_dimension", "content_hash", "text_hash", "vector_table", "vector_point_id",
         "generation_id", "embedded_at", F.lit("current").alias("status"),
     )
-    others = store.read("chunk_embeddings").where(~((F.col("repository_id") == repository_id) & (F.col("semantic_layer") == layer)))
-    store.replace("chunk_embeddings", others.unionByName(rows, allowMissingColumns=True))
+    before = store.read("chunk_embeddings").where((F.col("repository_id") == repository_id) & (F.col("semantic_layer") == layer))
+    store.change("chunk_embeddings", new=rows, gone=before.join(rows.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "semantic_layer"))
     record_generation(store, repository_id, generation, model, layer)
     wanted = store.read("chunk_embeddings").select("vector_point_id")
     protected = wanted if keep is None else wanted.union(keep.select("vector_point_id"))

@@ -60,6 +60,17 @@ KEYS: dict[str, tuple[str, ...]] = {name: ("id",) for name in TABLES} | {
     "quality_embedding_jobs": ("repository_id", "generation_id", "chunk_id"),
 }
 
+#: Column whose hash puts a row into a bucket: rows of one key are in one bucket,
+#: and the facts of a file (or of a caller) are together.
+BUCKET_BY: dict[str, str] = {name: key[0] for name, key in KEYS.items()} | {
+    **dict.fromkeys(("symbols", "chunks", "symbol_references", "dependencies", "tests"), "file_id"),
+    "calls": "caller_symbol_id",
+    "dependency_usages": "repository_id",
+    "test_targets": "repository_id",
+    "vector_points": "vector_point_id",
+    "quality_embedding_jobs": "chunk_id",
+}
+
 # Closed vocabularies.
 VOCABULARY: dict[str, tuple[str, ...]] = {
     "language": ("csharp", "json", "javascript", "rust", "toml", "typescript", "yaml"),

@@ -18,7 +18,7 @@ def run_batch(store: Store, generation_id: str, texts: DataFrame, limit: int = 1
     ``texts`` has chunk_id and text of current chunks (never stored).  A job is
     stale when its file or chunk changed since; it gives no vector.
     """
-    store.replace("quality_embedding_jobs", st.claim_jobs(store.read("quality_embedding_jobs"), generation_id, limit))
+    store.upsert("quality_embedding_jobs", st.claimed(st.oldest_pending(store.read("quality_embedding_jobs"), generation_id, limit)))
     jobs = store.read("quality_embedding_jobs")
     mine = jobs.where((F.col("generation_id") == generation_id) & (F.col("status") == "running"))
     sources = vectors.job_sources(mine, store.read("files"), store.read("chunks")).join(texts, "chunk_id", "left")
@@ -33,8 +33,8 @@ def run_batch(store: Store, generation_id: str, texts: DataFrame, limit: int = 1
     point = ids.vector_point_id(ids.stable_id(F.col("chunk_id"), F.lit("quality"), F.lit(model)))
     store.upsert_points(rows.withColumn("vector_point_id", point).withColumn("vector_rowid", ids.vector_rowid(F.col("vector_point_id"))))
     ended = sources.select("id", F.when(F.col("is_stale"), "skipped_stale").when(F.col("text").isNull(), "skipped_excluded").otherwise("succeeded").alias("outcome"))
-    done = jobs.join(ended, "id", "left").withColumn("status", F.coalesce("outcome", "status")).drop("outcome").select(*jobs.columns)
-    store.replace("quality_embedding_jobs", done)
+    # the jobs of this batch alone are written, into their buckets
+    store.upsert("quality_embedding_jobs", mine.join(ended, "id").withColumn("status", F.col("outcome")).select(*jobs.columns))
     return {r["status"]: r["count"] for r in store.read("quality_embedding_jobs").where(F.col("generation_id") == generation_id).groupBy("status").count().collect()}
 
 

@@ -69,6 +69,77 @@ def test_store_merges_and_points(spark, tmp_path):
     assert vectors.nearest_for_files(s.read("vector_points"), "x", [], [1.0, 0.0], 3).collect() == []
 
 
+def test_a_stop_at_any_step_leaves_the_old_or_the_new_table(spark, tmp_path, monkeypatch):
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, content_hash string").withColumns({c: F.lit("x") for c in ("repository_id", "path", "language")})
+    old, new = {("a", "1"), ("b", "1")}, {("a", "1"), ("b", "2"), ("c", "1")}
+    for n, step in enumerate(("_write", "_commit", "version", "_clean", "_names", "_manifest")):
+        for skip in range(4):
+            s = Store(spark, f"file://{tmp_path}/stop{n}{skip}")
+            s.upsert("files", rows(("a", "1"), ("b", "1")))
+            real, calls = getattr(Store, step), [0]
+
+            def stop(self, *a, real=real, calls=calls, skip=skip):
+                calls[0] += 1
+                if calls[0] > skip:
+                    raise KeyboardInterrupt
+                return real(self, *a)
+
+            monkeypatch.setattr(Store, step, stop)
+            try:
+                s.upsert("files", rows(("b", "2"), ("c", "1")))
+                ended = True
+            except KeyboardInterrupt:
+                ended = False
+            monkeypatch.undo()
+            fresh = Store(spark, s.root)
+            got = {(r.id, r.content_hash) for r in fresh.read("files").collect()}
+            assert fresh.exists("files") and got in ((new,) if ended else (old, new)), (step, skip)
+            fresh.upsert("files", rows(("b", "2"), ("c", "1")))  # and the table can be written on
+            assert {(r.id, r.content_hash) for r in fresh.read("files").collect()} == new
+            if ended:
+                break
+
+
+def test_writes_touch_their_buckets_and_readers_keep_theirs(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/b", buckets=8)
+    rows = lambda ids, h: spark.createDataFrame([(str(i), h) for i in ids], "id string, content_hash string").withColumns({c: F.lit("x") for c in ("repository_id", "path", "language")})
+    s.upsert("files", rows(range(100), "1"))
+    before, reader = s._manifest("files", s.version("files"))["parts"], s.read("files")
+    s.upsert("files", rows([7], "2"))
+    after = s._manifest("files", s.version("files"))["parts"]
+    assert len(before) == len(after) == 8 and len({tuple(p) for p in before} & {tuple(p) for p in after}) == 7
+    assert reader.count() == 100 and reader.where("content_hash = '2'").count() == 0  # planned before the write
+    assert s.read("files").where("content_hash = '2'").count() == 1
+    for k in range(5):
+        s.append("files", rows([1000 + k], "3"))
+    assert s.read("files").count() == 105 and s.version("files") == 7
+    other = Store(spark, s.root)
+    other._write, real = (lambda *a: (s.upsert("files", rows([8], "4")), real(*a))[1]), other._write
+    with pytest.raises(st.Conflict):
+        other.upsert("files", rows([9], "5"))
+    assert s.read("files").where("content_hash = '4'").count() == 1 and s.read("files").where("content_hash = '5'").count() == 0
+
+
+def test_facts_stay_in_their_repository(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/two", buckets=2)
+    for name, files in {
+        "a": {"Cargo.toml": '[dependencies]\nsqlx = "0.7"\n', "src/lib.rs": "use sqlx::Pool;\npub fn only_in_a() {}\n#[test]\nfn covers() { only_in_a(); }\n"},
+        "b": {"src/lib.rs": "use sqlx::Pool;\npub fn here() { crate::only_in_a(); }\n"},
+    }.items():
+        for path, text in files.items():
+            p = tmp_path / name / path
+            p.parent.mkdir(parents=True, exist_ok=True)
+            p.write_text(text)
+    engines = {n: api.Engine(spark, store, str(tmp_path / n), n) for n in "ab"}
+    for n in "aba":
+        engines[n].index(f"run-{n}")
+    assert {(r.repository_id, r.import_path) for r in store.read("dependency_usages").collect()} == {("a", "sqlx::Pool")}
+    calls = {r.callee_text: r for r in store.read("calls").collect()}
+    assert calls["crate::only_in_a"].resolution_status == "unresolved" and calls["only_in_a"].resolution_status == "resolved_exact"
+    assert {r.repository_id for r in store.read("test_targets").collect()} == {"a"}
+    assert {(r.repository_id, r.path) for r in store.read("files").collect()} == {("a", "Cargo.toml"), ("a", "src/lib.rs"), ("b", "src/lib.rs")}
+
+
 def test_diff_then_apply_is_the_new_snapshot(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, content_hash string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, content_hash string")
