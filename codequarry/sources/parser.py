@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -33,6 +34,8 @@ TEST_ATTRIBUTES = {"nunit": ("Test", "TestCase", "TestCaseSource"), "xunit": ("F
 CONFIDENCE = {"import": 0.4, "attribute": 0.3, "decorator": 0.3, "implementation": 0.5, "inheritance": 0.5, "type_reference": 0.45}
 _KEYWORDS = frozenset("if for while switch match return catch function fn loop in of new await typeof sizeof nameof using lock foreach unsafe else do throw yield case super this constructor".split())
 _WORD = r"[A-Za-z_$][\w$]*"
+#: Words before a name and its parentheses that are no return type.
+_NO_TYPE = frozenset("return new await throw else yield case goto in is as not and or record class struct interface enum delegate".split())
 
 
 def blank(text: str, language: str) -> str:
@@ -48,6 +51,19 @@ def blank(text: str, language: str) -> str:
     return re.sub("|".join(f"(?:{s})" for s in shapes), lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
 
 
+def without_macros(masked: str) -> str:
+    """Rust text without the insides of macro definitions and of braced macro
+    calls: what stands there are tokens, not items."""
+    out, at = [], 0
+    for m in re.finditer(rf"\bmacro_rules\s*!\s*{_WORD}\s*\{{|(?<![\w!])(?:{_WORD}::)*{_WORD}!\s*\{{", masked):
+        if m.start() < at:
+            continue
+        end = _closing(masked, m.end() - 1) or len(masked)
+        out += [masked[at : m.end()], re.sub(r"[^\n]", " ", masked[m.end() : end - 1])]
+        at = end - 1
+    return "".join([*out, masked[at:]])
+
+
 @dataclass
 class Block:
     kind: str  # fn, impl, type, mod, class
@@ -78,12 +94,16 @@ def _after_parens(masked: str, at: int) -> int | None:
     return None
 
 
+#: A name that is given a function: a variable, or a field of a class.
+_VALUE = rf"\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b\s*\*?\s*(?:{_WORD})?\s*(?=\()|(?:\([^()]*\)(?:\s*:[^=]+?)?|{_WORD})\s*=>)"
+_ASSIGNED = rf"(?:(?:export|default|const|let|var)\s+)+({_WORD}){_VALUE}"
+_FIELD = rf"(?:(?:public|private|protected|static|readonly|override|declare)\s+)*(#?{_WORD})[?!]?{_VALUE}"
 _HEADS = {
     "rust": (("fn", rf"(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|default)\s+)*fn\s+({_WORD})"), ("impl", r"\bimpl\b([^{;]*)(?=\{)"), ("type", rf"(?:pub(?:\([^)]*\))?\s+)?\b(?:struct|enum|union|trait|type)\s+({_WORD})"), ("mod", rf"(?:pub(?:\([^)]*\))?\s+)?\bmod\s+({_WORD})\s*(?=\{{)")),
     "csharp": (("class", rf"\b(?:class|struct|interface|record)\s+({_WORD})"), ("mod", r"\bnamespace\s+([\w.]+)"), ("fn", rf"(?:(?:public|private|protected|internal|static|async|virtual|override|sealed|abstract|extern|partial|unsafe|readonly)\s+)*(?:[\w.<>\[\],?]+\s+)?(?<![.\w])({_WORD}|operator\s*\S+)\s*(?:<[^<>()]*>)?\s*(?=\()")),
-    "javascript": (("class", rf"\bclass\s+({_WORD})"), ("fn", rf"(?:async\s+)?\bfunction\s*\*?\s*({_WORD})\s*(?:<[^()]*>)?\s*(?=\()"), ("fn", rf"(?:(?:export|default|const|let|var)\s+)+({_WORD})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b\s*\*?\s*(?:{_WORD})?\s*(?=\()|(?:\([^()]*\)(?:\s*:[^=]+?)?|{_WORD})\s*=>)"), ("fn", rf"(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s+)*\*?\s*(?<![.\w$])(#?{_WORD})\s*(?:<[^<>()]*>)?\s*(?=\()")),
+    "javascript": (("class", rf"\bclass\s+({_WORD})"), ("fn", _ASSIGNED), ("fn", rf"(?:async\s+)?\bfunction\s*\*?\s*({_WORD})\s*(?:<[^()]*>)?\s*(?=\()"), ("fn", _FIELD), ("fn", rf"(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s+)*\*?\s*(?<![.\w$])(#?{_WORD})\s*(?:<[^<>()]*>)?\s*(?=\()")),
 }
-_HEADS["typescript"] = _HEADS["javascript"]
+_HEADS["typescript"] = (("class", rf"\binterface\s+({_WORD})"), *_HEADS["javascript"])
 
 
 def _named_impl(header: str) -> str:
@@ -121,7 +141,12 @@ def blocks(masked: str, language: str) -> list[Block]:
                     tail = re.compile(r"\s*(?:(?::|->)[^{;=]*|\bwhere\b[^{;]*|:\s*(?:base|this)\([^)]*\))*\s*(\{|=>|;)?").match(masked, after)
                     mark = tail[1] if tail else None
                     plain = re.match(rf"#?{_WORD}\s*\($", m[0] + "(") is not None
-                    if language in ("javascript", "typescript") and mark != "{" and "function" not in m[0]:
+                    signature = language == "typescript" and mark == ";"  # kept below in interfaces and when abstract
+                    if language in ("javascript", "typescript") and mark != "{" and "function" not in m[0] and not signature:
+                        continue
+                    if language == "rust" and mark == ";":
+                        continue  # a signature without a body is no function item
+                    if language == "csharp" and _NO_TYPE & set(re.findall(r"\w+", m[0][: m[0].rindex(name)])):
                         continue
                     if language == "csharp" and (mark is None or (mark == ";" and plain) or (plain and mark != "{" and mark != "=>")):
                         continue
@@ -157,6 +182,19 @@ def blocks(masked: str, language: str) -> list[Block]:
             stack.pop()
         b.outer = list(stack)
         stack.append(b)
+    if language in ("javascript", "typescript"):
+        direct = lambda b: bool(b.outer) and b.outer[-1].kind == "class"
+        field_ = re.compile(rf"{_FIELD}")
+        variable = re.compile(r"(?:export|default|const|let|var)\b")
+        kept = []
+        for b in found:
+            signature = b.kind == "fn" and b.body == b.end and masked[b.end - 1 : b.end] == ";" and "=" not in b.header
+            if signature and not (direct(b) and (b.outer[-1].header.lstrip().startswith("interface") or re.match(r"(?:\w+\s+)*abstract\b", b.header))):
+                continue
+            if b.kind == "fn" and field_.match(b.header) and not variable.match(b.header) and not direct(b):
+                continue
+            kept.append(b)
+        found = kept
     if language in ("javascript", "typescript", "csharp"):
         # a bare ``name(...) {`` is a method only directly in a class
         bare = re.compile(rf"(?:(?:public|private|protected|internal|static|async|get|set|readonly|override|abstract)\s+)*\*?\s*#?{_WORD}\s*(?:<[^<>()]*>)?\s*\(")
@@ -170,6 +208,7 @@ class Source:
     def __init__(self, path: str, language: str, text: str, module: list[str] | None = None):
         self.path, self.language, self.text = path, language, text
         self.masked = blank(text, language) if language in CODE else text
+        self.places = None if text.isascii() else [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)]
         self.lines = [0, *(m.end() for m in re.finditer("\n", text))]
         self.rows: list[dict] = []
         self.module = module if module is not None else [p for p in re.sub(r"\.[^./]+$", "", path).split("/") if p and p not in ("src", "lib", "main", "mod", "index", "Program", "program")]
@@ -180,7 +219,7 @@ class Source:
         return bisect.bisect_right(self.lines, at)
 
     def add(self, record: str, start: int, end: int, **more) -> None:
-        to_bytes = lambda k: len(self.text[:k].encode())
+        to_bytes = lambda k: k if self.places is None else self.places[k]
         last = max(start, end - 1)
         self.rows.append({"record_kind": record, "start_line": self.line(start), "end_line": self.line(last), "start_byte": to_bytes(start), "end_byte": to_bytes(end), **more})
 
@@ -197,7 +236,7 @@ class Source:
             return self.rows
         if self.masked.count("{") != self.masked.count("}"):
             self.add("diagnostic", 0, len(self.text), kind="error", text="unbalanced braces")
-        found = blocks(self.masked, self.language)
+        found = blocks(without_macros(self.masked) if self.language == "rust" else self.masked, self.language)
         for b in found:
             self.block(b)
         self.references()
@@ -213,7 +252,8 @@ class Source:
             self.add("chunk", b.start, b.end, kind="impl_summary" if b.kind == "impl" else "type_definition", name=b.name, text=whole)
         if b.kind != "fn":
             return
-        method = any(o.kind in ("impl", "class") for o in b.outer[-1:])
+        # in Rust all functions below an impl are methods, however deep
+        method = any(o.kind in ("impl", "class") for o in (b.outer if self.language == "rust" else b.outer[-1:]))
         kind = "method" if method else "function"
         qualified = self.qualified(b)
         signature = self.text[b.start : b.body].strip()
