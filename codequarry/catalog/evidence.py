@@ -72,12 +72,11 @@ def trust_scores(spark, sf):
     return rows.withColumn("factors", F.array_join("trust_factors", ",")).drop("trust_factors")
 
 
-@query("""select p_partkey, p_name, case when p_name = 'Part-12' then 0 when ends_with(p_name, 'Part-12') then 2 else 3 end as match_rank from part
-where cast(p_partkey as varchar) = 'Part-12' or contains(lower(p_name), 'part-12') order by match_rank, p_name, p_partkey limit 25""".replace("Part-12", "1").replace("part-12", "1"))
+@query("""select p_partkey, p_name, case when p_name = 'ring' then 0 when ends_with(p_name, 'ring') then 2 else 3 end as match_rank from part
+where contains(lower(p_name), 'ring') order by match_rank, p_name, lpad(cast(p_partkey as varchar), 12, '0') limit 25""")
 def symbol_search_ranked(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_name").alias("qualified_name"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("path"), F.lit(1).alias("start_line"), "p_partkey")
-    out = search.symbols(p.drop("id").withColumn("id", F.col("p_partkey").cast("string")), "1", 25)
-    return out.select("p_partkey", F.col("name").alias("p_name"), "match_rank")
+    return search.symbols(p, "ring", 25).select("p_partkey", F.col("name").alias("p_name"), "match_rank")
 
 
 _TARGETS = Values("path string, start_line bigint, end_line bigint", [("F", 10, 20), ("O", 100, 400), ("O", 1000, 1000), ("P", 1, 5000), ("X", 1, 9)])
@@ -181,18 +180,18 @@ def secret_exclusions(spark, sf):
 
 @query("select md5(text) as text_hash, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
 def dedup_exact(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.md5("text").alias("text_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return summaries.copies(table(spark, sf, "documents").select(F.md5("text").alias("text_hash"), "doc_id"), ["text_hash"], "doc_id")
 
 
 # call graph ----------------------------------------------------------------------
-@query(f"with e as ({EDGES_SQL}) select caller_symbol_id, callee_text, resolution_status, confidence from e where coalesce(callee_symbol_id, '') = 'STANDARD BRASS' or (callee_symbol_id is null and callee_text = 'STANDARD BRASS')")
+@query(f"with e as ({EDGES_SQL}) select caller_symbol_id, callee_text, resolution_status, confidence from e where coalesce(callee_symbol_id, '') = 'Brand#2' or (callee_symbol_id is null and callee_text = 'Brand#2')")
 def callers(spark, sf):
-    return graph.callers(edges(spark, sf).withColumn("call_line", F.lit(1)), "STANDARD BRASS").select("caller_symbol_id", "callee_text", "resolution_status", "confidence")
+    return graph.callers(edges(spark, sf).withColumn("call_line", F.lit(1)), "Brand#2").select("caller_symbol_id", "callee_text", "resolution_status", "confidence")
 
 
-@query(f"with e as ({EDGES_SQL}) select caller_symbol_id, callee_symbol_id, callee_text, resolution_status, confidence from e where caller_symbol_id = 'STANDARD BRASS'")
+@query(f"with e as ({EDGES_SQL}) select caller_symbol_id, callee_symbol_id, callee_text, resolution_status, confidence from e where caller_symbol_id = 'Brand#2'")
 def callees(spark, sf):
-    return graph.callees(edges(spark, sf).withColumn("call_line", F.lit(1)), "STANDARD BRASS").select("caller_symbol_id", "callee_symbol_id", "callee_text", "resolution_status", "confidence")
+    return graph.callees(edges(spark, sf).withColumn("call_line", F.lit(1)), "Brand#2").select("caller_symbol_id", "callee_symbol_id", "callee_text", "resolution_status", "confidence")
 
 
 def _walk_sql(start: str, depth: int, backward: bool = False) -> str:

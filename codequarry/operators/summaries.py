@@ -161,3 +161,8 @@ def enrichment_plan(files: DataFrame, symbols: DataFrame, calls: DataFrame, lang
 def prompt_tokens(rows: DataFrame) -> DataFrame:
     """Sum of the known counts; null if none is known."""
     return rows.agg(F.sum("prompt_eval_count").alias("prompt_tokens"))
+
+
+def copies(rows: DataFrame, keys: list[str], id_column: str) -> DataFrame:
+    """One row for each key: the least id that has it, and how many do."""
+    return rows.groupBy(*keys).agg(F.min(id_column).alias(id_column), F.count("*").alias("copies"))

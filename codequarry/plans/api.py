@@ -28,6 +28,8 @@ class Engine:
     root: str | None = None
     repository_id: str = "repo"
     ref_id: str | None = None
+    #: Live paths and hashes, where they come from elsewhere than a tree at ``root``.
+    live: DataFrame | None = None
 
     # tables -----------------------------------------------------------------
     def table(self, name: str) -> DataFrame:
@@ -44,6 +46,8 @@ class Engine:
 
     def current(self) -> DataFrame:
         """Live paths and hashes of the working tree."""
+        if self.live is not None:
+            return self.live
         return discovery.file_facts(discovery.read(self.spark, self.root), self.repository_id).select("path", "content_hash")
 
     # writes -----------------------------------------------------------------

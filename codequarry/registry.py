@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.catalog import evidence, index, maintenance  # noqa: F401  (they register queries)
+from codequarry.catalog import evidence, facts, index, maintenance  # noqa: F401  (they register queries)
 from codequarry.catalog.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

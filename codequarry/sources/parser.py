@@ -256,7 +256,7 @@ class Source:
         method = any(o.kind in ("impl", "class") for o in (b.outer if self.language == "rust" else b.outer[-1:]))
         kind = "method" if method else "function"
         qualified = self.qualified(b)
-        signature = self.text[b.start : b.body].strip()
+        signature = self.text[b.start : b.body].strip().rstrip(";")
         self.add("symbol", b.start, b.end, kind=kind, name=b.name, qualified_name=qualified, signature=signature)
         self.add("chunk", b.start, b.end, kind=kind, name=b.name, owner=qualified, text=whole)
         self.calls(b, qualified)

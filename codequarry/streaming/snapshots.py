@@ -61,20 +61,46 @@ class TreeSource(DataSource):
         return TreeReader({k.lower(): v for k, v in self.options.items()})
 
 
+SNAPSHOT = "path string, content_hash string"
+
+
 class Tracker:
-    """Keeps the last snapshot handled and hands over what changed since."""
+    """Keeps the last snapshot handled and hands over what changed since.
+
+    Snapshots are folders of the state, each marked once its changes were
+    handled.  A tracker that starts anew goes on from the last mark; snapshots
+    before the last two are removed.
+    """
 
     def __init__(self, spark: SparkSession, root: str, on_change: Callable[[DataFrame, int], None], debounce: float = 0.0):
         self.spark, self.root, self.on_change, self.debounce = spark, root.rstrip("/"), on_change, debounce
-        self.done = -1
+        self.done = max(self._numbers("done-"), default=-1)
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _numbers(self, prefix: str) -> list[int]:
+        p, fs = self._fs(self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)]
 
     def _where(self, batch: int) -> str:
         return f"{self.root}/snapshot-{batch}"
 
     def snapshot(self) -> DataFrame:
         if self.done < 0:
-            return self.spark.createDataFrame([], "path string, content_hash string")
-        return self.spark.read.schema("path string, content_hash string").parquet(self._where(self.done))
+            return self.spark.createDataFrame([], SNAPSHOT)
+        return self.spark.read.schema(SNAPSHOT).parquet(self._where(self.done))
+
+    def _finish(self, batch: int) -> None:
+        mark, fs = self._fs(f"{self.root}/done-{batch}")
+        fs.create(mark, True).close()
+        for prefix in ("done-", "snapshot-"):
+            for n in self._numbers(prefix):
+                if n < self.done:
+                    fs.delete(self._fs(f"{self.root}/{prefix}{n}")[0], True)
+        self.done = batch
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         """One poll.  A batch id seen before does nothing."""
@@ -83,7 +109,7 @@ class Tracker:
         last = batch.agg(F.max("poll")).first()[0]
         now = batch.where((F.col("poll") == last) & F.col("path").isNotNull()).select("path", "content_hash")
         now.write.mode("overwrite").parquet(self._where(batch_id))
-        now = self.spark.read.schema("path string, content_hash string").parquet(self._where(batch_id))
+        now = self.spark.read.schema(SNAPSHOT).parquet(self._where(batch_id))
         changes = freshness.diff(self.snapshot(), now)
         if not changes.isEmpty():
             if self.debounce:
@@ -92,7 +118,7 @@ class Tracker:
                 self.on_change(changes, batch_id)
             except Busy:
                 return
-        self.done = batch_id
+        self._finish(batch_id)
 
 
 def watch(spark: SparkSession, root: str, state: str, checkpoint: str, on_change: Callable[[DataFrame, int], None], poll: str | None = "1 second", debounce: float = 0.25):

@@ -81,3 +81,29 @@ def test_config_and_empty_files():
 
 def test_use_aliases():
     assert P.use_aliases("a::b::{self, c as d, e::*, f}") == {"b": "a::b", "d": "a::b::c", "f": "a::b::f"}
+
+
+def names(language, text):
+    return [(r["name"], r["kind"]) for r in P.parse_source("src/a", language, text) if r["record_kind"] == "symbol"]
+
+
+def test_signatures_and_macro_bodies_are_no_rust_functions():
+    text = 'trait T { fn must(&self); fn may(&self) { x(); } }\nmacro_rules! m { ($a:ident) => { fn inner() {} }; }\nimpl A { fn a() { fn deep() {} } }\nthread_local! { fn no() {} }\nfn ok() { vec![1]; }\nextern "C" { fn ext(a: u8); }\n'
+    assert names("rust", text) == [("may", "function"), ("a", "method"), ("deep", "method"), ("ok", "function")]
+
+
+def test_records_and_statements_are_no_csharp_methods():
+    text = 'record Person(string Name);\nclass A {\n public A(int x) { }\n async Task Go() { await Run<int>(3); return Parse(a); }\n int Sq(int a) => a * a;\n T Gen<T>(T x) where T : new() { throw new E("x"); }\n public static A operator +(A a, A b) { return a; }\n}\n'
+    assert names("csharp", text) == [("A", "method"), ("Go", "method"), ("Sq", "method"), ("Gen", "method"), ("operator +", "method")]
+
+
+def test_fields_and_signatures_of_typescript():
+    text = "interface I { m(): void; n(a: string): number; }\nabstract class C {\n arrow = (a: number) => { go(); };\n private static h = async () => 1;\n abstract ab(): void;\n run(x) { y = () => 2; foo(); }\n get v() { return 1; }\n}\nconst f = async function named() { };\nexport const g = (x) => x;\nfunction top() { obj.cb = () => 1; call(); }\ndeclare function nope(): void;\n"
+    method, function = [(n, "method") for n in ("m", "n", "arrow", "h", "ab", "run", "v")], [(n, "function") for n in ("f", "g", "top")]
+    assert names("typescript", text) == method + function
+
+
+def test_bytes_are_those_of_utf8():
+    text = "// é ü 日本\nfn a() { \"ß\"; }\n"
+    row = next(r for r in P.parse_source("src/a", "rust", text) if r["record_kind"] == "symbol")
+    assert text.encode()[row["start_byte"] : row["end_byte"]].decode() == 'fn a() { "ß"; }'
