@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from codequarry.scratch import Scratch
 
 
+def loose(df: DataFrame, key: str) -> DataFrame:
+    """The same rows, known to Catalyst without the partitioning by ``key`` (a
+    bigint) that an aggregate gave them.  A join by the key then shuffles both
+    sides itself, which is what AQE needs to split a key that has very many
+    rows on the other side; only the aggregate's rows are moved once more."""
+    return df.withColumn(key, F.expr(f"{key} ^ 0L"))
+
+
 def _least_neighbour(edges: DataFrame) -> DataFrame:
     """For each larger end the least of its smaller ends (combined map-side)."""
     return edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -18,10 +26,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     ``component`` is the least node reachable.  Each round makes every node
     point to the least neighbour it knows (large star), then to the least of
     its smaller neighbours (small star); the number of rounds is logarithmic.
-    Only minima are aggregated (map-side combined), and they are written before
-    the edges meet them: each join then has a shuffle of its own on both sides,
-    which AQE can split, so a node with very many neighbours is never gathered
-    in one task.  Self loops and repeated edges do no harm; an empty edge table
+    Only minima are aggregated (map-side combined), and the edges meet them in a
+    join that AQE can split (``loose``), so a node with very many neighbours is
+    never gathered in one task.  Self loops and repeated edges do no harm; an empty edge table
     gives an empty result.
     """
     state = scratch.save(
@@ -31,9 +38,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     before, step = None, 0
     while True:
         both = state.select("u", "v").union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.save(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), f"{name}low")
-        large = scratch.save(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}large")
-        least = scratch.save(_least_neighbour(large), f"{name}least")
+        low = loose(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "u")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = loose(_least_neighbour(large), "u")
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from codequarry.llm.components import components
+from codequarry.llm.components import components, loose
 from codequarry.llm.docfilter import prefilter, with_ids, without
 from codequarry.llm.textkernel import lean, mix, shingle_sets
 from codequarry.scratch import Scratch
@@ -161,11 +161,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, label: str = "minhash")
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"))
     members = scratch.save(classes.select("rep", F.explode("bands").alias("key")), "members")
     buckets = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other"), F.count("*").alias("n")).where("pivot <> other")
-    # written, so that the join can split a bucket that very many classes share
-    buckets = scratch.save(buckets.select("key", "pivot", "n"), "buckets")
-    shared = scratch.save(members.join(buckets, "key"), "shared")
+    # loose: the join can split a bucket that very many classes share
+    shared = scratch.save(members.join(loose(buckets.select("key", "pivot", "n"), "key"), "key"), "shared")
     scratch.drop("members")
-    scratch.drop("buckets")
 
     ends = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = scratch.save(with_ids(docs, ends).mapInArrow(lean(_sets), "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
