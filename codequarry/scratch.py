@@ -3,7 +3,8 @@
 A lineage is cut by writing a Parquet table under ``spark.checkpoint.dir``.
 Losing an executor then costs only the tasks it ran: the table is read again
 from shared storage.  The setting is taken from the session; a folder of our
-own is made only where it is unset (tests on one machine).
+own is made only where it is unset and driver and executors are one process
+(tests on one machine).  Elsewhere an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -17,10 +18,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, or one of our own."""
+    """The folder that ``spark.checkpoint.dir`` names, or one of our own in
+    local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir is unset: tables between steps need a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="codequarry-")
