@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 #: A run of white space, up to four ASCII word characters, one other
 #: character.  Words are cut every four bytes, other scripts per character.
@@ -25,37 +29,50 @@ def overlap(budget: int) -> int:
     return 0 if budget < 8 else min(budget // 5, 64, budget - 1)
 
 
-def segments(text: str, budget: int) -> list[str]:
-    """Cut a text into segments of at most ``budget`` tokens that overlap.
+def cuts(text: str, budget: int) -> Iterator[tuple[int, int, int]]:
+    """Segments of at most ``budget`` tokens that overlap: (start, end, tokens).
 
     A segment rather ends after a line break, if one lies in its second half.
+    No token or no budget, no segment.  Time is linear in the text.
     """
     spans = [m.span() for m in _TOKEN.finditer(text)]
     if not spans or budget <= 0:
-        return []
-    out, first, shared = [], 0, overlap(budget)
+        return
+    breaks = [k for k, (start, end) in enumerate(spans, 1) if "\n" in text[start:end]]
+    first, shared = 0, overlap(budget)
     while True:
         last = min(first + budget, len(spans))
         if last < len(spans):
-            breaks = [k for k in range(first + max(budget // 2, 1), last + 1) if "\n" in text[spans[k - 1][0] : spans[k - 1][1]]]
-            last = breaks[-1] if breaks else last
-        out.append(text[spans[first][0] : spans[last - 1][1]])
+            at = bisect_right(breaks, last) - 1
+            if at >= bisect_left(breaks, first + max(budget // 2, 1)):
+                last = breaks[at]
+        yield spans[first][0], spans[last - 1][1], last - first
         if last == len(spans):
-            return out
+            return
         first = max(last - shared, first + 1)
 
 
-def segment_table(df, text: str, budget: int):
-    """Rows of ``df`` with segment_index, segment and segment_tokens (lateral
-    Python UDTF: the step depends on the text)."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="segment_index int, segment string, segment_tokens int", useArrow=False)
-    class Segments:
-        def eval(self, value: str):
-            for k, part in enumerate(segments(value or "", budget)):
-                yield k, part, len(_TOKEN.findall(part))
-
-    df.sparkSession.udtf.register("codequarry_segments", Segments)
-    df.createOrReplaceTempView("codequarry_segment_input")
-    return df.sparkSession.sql(f"select t.*, s.* from codequarry_segment_input t, lateral codequarry_segments(t.`{text}`) s")
+def segments(text: str, budget: int) -> list[str]:
+    """The texts of ``cuts``."""
+    return [text[start:end] for start, end, _ in cuts(text, budget)]
+
+
+def segment_table(df: DataFrame, text: str, budget: int) -> DataFrame:
+    """Rows of ``df`` with segment_index, segment and segment_tokens (Arrow
+    batches: the step depends on the text).  A null text has no segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, index, parts, counts = [], [], [], []
+            for row, value in enumerate(batch.column(text).to_pylist()):
+                for k, (start, end, n) in enumerate(cuts(value or "", budget)):
+                    rows.append(row)
+                    index.append(k)
+                    parts.append(value[start:end])
+                    counts.append(n)
+            own = batch.take(pa.array(rows, pa.int64()))
+            added = [pa.array(index, pa.int32()), pa.array(parts, pa.string()), pa.array(counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*own.columns, *added], names=[*batch.schema.names, "segment_index", "segment", "segment_tokens"])
+
+    schema = StructType(list(df.schema.fields)).add("segment_index", IntegerType()).add("segment", StringType()).add("segment_tokens", IntegerType())
+    return df.mapInArrow(run, schema)

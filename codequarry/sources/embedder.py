@@ -11,7 +11,9 @@ import hashlib
 import json
 import urllib.error
 import urllib.request
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -19,15 +21,20 @@ from pyspark.sql import DataFrame, functions as F
 BATCH = 16
 
 
+@lru_cache(maxsize=1 << 16)
+def _hash(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.lower().encode(), digest_size=8).digest(), "little")
+
+
 def hashed(texts: list[str], size: int = 64) -> list[list[float]]:
     from codequarry.functions.tokens import _TOKEN
 
     out = []
     for text in texts:
         v = [0.0] * size
-        for token in _TOKEN.findall(text or ""):
-            h = int.from_bytes(hashlib.blake2b(token.lower().encode(), digest_size=8).digest(), "little")
-            v[h % size] += 1.0 if h >> 63 else -1.0
+        for token, n in Counter(_TOKEN.findall(text or "")).items():
+            h = _hash(token)
+            v[h % size] += n if h >> 63 else -n
         length = sum(x * x for x in v) ** 0.5
         out.append([x / length for x in v] if length else v)
     return out
