@@ -147,7 +147,7 @@ _CANDIDATES = r"""cand as (select call_id, file_id, unnest(list_distinct(list_fi
 
 def _resolution_sql(across: bool) -> str:
     on = "" if across else "and n.file_id = sy.file_id"
-    near = "contains(callee_text, '::') and ends_with(sy.qualified_name, regexp_replace(callee_text, '^((crate|self|super)(::|$))+', ''))" if across else "c.file_id = sy.file_id"
+    near = "contains(callee_text, '::') and ends_with('::' || sy.qualified_name, '::' || regexp_replace(callee_text, '^((crate|self|super)(::|$))+', ''))" if across else "c.file_id = sy.file_id"
     return f"""with {_SYMBOLS.sql("s")}, {_CALLS.sql("c")}, {_CANDIDATES}, ex as (select call_id, count(distinct sy.id) as k, min(sy.id) as id from n join sy on sy.q = n.c {on} group by 1),
     nr as (select call_id, count(distinct sy.id) as k, min(sy.id) as id from c join sy on sy.name = coalesce(list_filter(string_split_regex(callee_text, '[:.#]'), lambda x: x <> '')[-1], callee_text) and {near} group by 1)
     select c.call_id, callee_text, case when ends_with(callee_text, '!') then null when ex.k = 1 then ex.id when ex.k > 1 then null when nr.k = 1 then nr.id end as callee_symbol_id,

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codequarry.functions import reasons, status, trust
+from codequarry.scratch import Scratch
 
 RESOLVED = ("resolved_exact", "resolved_local_candidate")
 MOST_HOPS = 8
@@ -63,8 +64,9 @@ def paths_from(edges: DataFrame, starts: DataFrame, depth: int | None = None) ->
     Columns start, node (last symbol, null if unresolved), hops, calls (ids),
     visited, min_confidence, terminal_resolution_status, terminal_text.
     Resolved edges are followed; an unresolved or ambiguous one ends its path.
-    A symbol appears once in a path.  The depth is at most 8, so the levels are
-    joined in a row and stay lazy: no driver loop over data.
+    A symbol appears once in a path.  The depth is at most 8; each level but the
+    last is written before the next one joins it, so no level is computed twice,
+    and an empty one ends the walk.
     """
     depth = status.clamp(depth, 4, 1, MOST_HOPS)
     step = _step(edges)
@@ -73,16 +75,20 @@ def paths_from(edges: DataFrame, starts: DataFrame, depth: int | None = None) ->
         "start", F.col("dst").alias("node"), F.lit(1).alias("hops"), F.array("call_id").alias("calls"), F.array_compact(F.array("start", "dst")).alias("visited"),
         F.col("confidence").alias("min_confidence"), F.col("resolution_status").alias("terminal_resolution_status"), F.col("callee_text").alias("terminal_text"),
     ).where("node is null or node <> start")
-    levels = [level]
-    for _ in range(depth - 1):
+    scratch = Scratch(edges.sparkSession, "paths")
+    levels = []
+    for hop in range(1, depth):
+        level = scratch.save(level, f"level{hop}")
+        if level.isEmpty():
+            return reduce(DataFrame.union, levels, level)
+        levels.append(level)
         open_ = level.where(F.col("node").isNotNull() & F.col("terminal_resolution_status").isin(*RESOLVED))
         level = open_.join(step, F.col("node") == F.col("src")).where("dst is null or not array_contains(visited, dst)").select(
             "start", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"), F.concat("calls", F.array("call_id")).alias("calls"),
             F.concat("visited", F.array_compact(F.array("dst"))).alias("visited"), F.least("min_confidence", "confidence").alias("min_confidence"),
             F.col("resolution_status").alias("terminal_resolution_status"), F.col("callee_text").alias("terminal_text"),
         )
-        levels.append(level)
-    return reduce(DataFrame.union, levels)
+    return reduce(DataFrame.union, levels, level)
 
 
 def paths_between(edges: DataFrame, starts: DataFrame, targets: DataFrame, target_text: str | None = None, depth: int | None = None) -> DataFrame:

@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from codequarry.functions import paths
 
 
+def _by_spelling(named: DataFrame, on: list[str]) -> DataFrame:
+    """Number of symbols and least id of each spelling.  The keys are rebuilt,
+    so that a join shuffles both sides itself and AQE can split a hot one."""
+    found = named.groupBy(*on).agg(F.countDistinct("sid").alias("n"), F.min("sid").alias("sid"))
+    return found.select(*[F.concat(c, F.lit("")).alias(c) for c in on], "n", "sid")
+
+
 def callees(calls: DataFrame, symbols: DataFrame, across_files: bool = False) -> DataFrame:
     """Resolve calls (call_id, file_id, callee_text, caller_name) to symbols
     (id, file_id, name, qualified_name).
@@ -15,20 +22,23 @@ def callees(calls: DataFrame, symbols: DataFrame, across_files: bool = False) ->
     resolved_exact (1.0), several ambiguous (0.2).  Else a match of the last
     part: one is resolved_local_candidate (0.75 in the file, 0.65 across
     files), several ambiguous.  Else unresolved (0.25).  Macros (``name!``) are
-    unresolved with 0.2.  Both steps are equi joins.
+    unresolved with 0.2.  Across files the last parts of the qualified name must
+    be those of the call, whole parts only.  Every step is an equi join of calls
+    with one row a spelling (number of symbols, least id), so a name that very
+    many symbols and calls share gives no more rows than it has calls.
     """
     own = calls.withColumn("suffix", paths.symbol_suffix(F.col("callee_text")))
     each = own.select("call_id", "file_id", F.explode(paths.relative_candidates(F.col("callee_text"), F.col("caller_name"))).alias("candidate"))
     each = each.withColumn("candidate", paths.normalize_rust(F.col("candidate"))).distinct()
     named = symbols.select(F.col("id").alias("sid"), "file_id", "name", paths.normalize_rust(F.col("qualified_name")).alias("candidate"), "qualified_name")
     on = ["candidate"] if across_files else ["candidate", "file_id"]
-    exact = each.join(named.drop("file_id") if across_files else named, on).groupBy("call_id").agg(F.countDistinct("sid").alias("exact_n"), F.min("sid").alias("exact_id"))
+    exact = each.join(_by_spelling(named, on), on).groupBy("call_id").agg(F.sum("n").alias("exact_n"), F.min("sid").alias("exact_id"))
     local = own.select("call_id", "file_id", "callee_text", F.col("suffix").alias("name"))
     if across_files:
-        near = local.where("contains(callee_text, '::')").drop("file_id").join(named.drop("file_id", "candidate"), "name").where(F.col("qualified_name").endswith(paths.normalize_rust(F.col("callee_text"))))
-    else:
-        near = local.join(named.drop("candidate"), ["name", "file_id"])
-    near = near.groupBy("call_id").agg(F.countDistinct("sid").alias("near_n"), F.min("sid").alias("near_id"))
+        local = local.where("contains(callee_text, '::')").withColumn("tail", paths.normalize_rust(F.col("callee_text")))
+        named = named.withColumn("tail", F.explode(paths.test_name_candidates(F.col("qualified_name"))))
+    on = ["name", "tail"] if across_files else ["name", "file_id"]
+    near = local.join(_by_spelling(named, on), on).groupBy("call_id").agg(F.max("n").alias("near_n"), F.min("sid").alias("near_id"))
     both = calls.join(exact, "call_id", "left").join(near, "call_id", "left").na.fill(0, ["exact_n", "near_n"])
     macro = F.col("callee_text").endswith("!")
     case = lambda *v: F.when(macro, v[0]).when(F.col("exact_n") == 1, v[1]).when(F.col("exact_n") > 1, v[2]).when(F.col("near_n") == 1, v[3]).when(F.col("near_n") > 1, v[2]).otherwise(v[4])

@@ -36,14 +36,22 @@ def nearest(points: DataFrame, vector: list[float], limit: int, id_column: str =
 def nearest_each(points: DataFrame, queries: DataFrame, limit: int, id_column: str) -> DataFrame:
     """(query_id, id, score, rank) for a table of queries (query_id,
     query_vector).  Up to ``MOST_QUERIES`` queries are broadcast (the number is
-    checked); more meet the points by dimension in a shuffled join.  Every task
-    keeps the best of its part before the parts meet."""
+    checked); more are copied to parts of the points, as many as the session has
+    shuffle partitions, and meet them in a join by dimension and part.  Every
+    task keeps the best of its part before the parts meet."""
     if limit < 1:
         raise ValueError("the number of neighbours must be at least 1")
     few = queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
-    pairs = points.join(F.broadcast(queries) if few else queries, F.size("embedding") == F.size("query_vector"))
-    scored = pairs.select("query_id", F.col(id_column).alias("id"), vectors.cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
-    part = scored.withColumn("part", F.spark_partition_id())
+    own = points.select(F.col(id_column).alias("id"), "embedding")
+    same = F.size("embedding") == F.size("query_vector")
+    if few:
+        pairs, part = own.join(F.broadcast(queries), same), F.spark_partition_id()
+    else:
+        parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = queries.withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = own.withColumn("part", F.pmod(F.hash("id"), F.lit(parts))).join(spread, same & (F.col("part") == F.col("query_part")))
+        part = F.col("part")
+    part = pairs.select("query_id", "id", vectors.cosine(F.col("embedding"), F.col("query_vector")).alias("score"), part.alias("part"))
     order = [F.desc("score"), F.col("id")]
     first = part.withColumn("r", F.row_number().over(W.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= limit)
     return first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit).select("query_id", "id", "score", "rank")
