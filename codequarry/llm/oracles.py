@@ -95,14 +95,24 @@ def _regex(p: str) -> str:
 
 
 _W = secrets.WINDOW
+_MIXED = _regex(secrets.MIXED)
+#: A window counts unless it holds a placeholder or shares a character with a ruler.
+_RULED = " or ".join(f"regexp_matches(substr(found, (greatest(k - {len(r) - 1}, 0) + 1)::int, ({_W} + {len(r) - 1} + least(k, {len(r) - 1}))::int), '(?i){r}')" for r in secrets.RULERS)
+_ENTROPY = [_spans("entropy", 3, p, 0, _W) for p in (secrets.CANDIDATE, *secrets.HEX_CANDIDATES, secrets.LETTERS)]
 OP9 = f"""with b as ({_spans("assign", 0, secrets.ASSIGN, 2, secrets.ASSIGN_LEAST)} union all {_spans("access", 1, secrets.ACCESS, 0, secrets.ACCESS_LEAST)} union all {_spans("hex", 2, secrets.HEX, 0, secrets.HEX_LEAST)}),
 base as (select doc_id, rank, kind, start, start + len(found) as stop from b),
-c as (select doc_id, start, found, regexp_full_match(found, '[0-9a-f]+|[0-9A-F]+') as is_hex from ({_spans("entropy", 3, secrets.CANDIDATE, 0, _W)}) where regexp_matches(found, '{_regex(secrets.MIXED)}') and not regexp_matches(found, '{_regex(secrets.PLACEHOLDER)}')),
-w as (select doc_id, start, is_hex, k.k as k, unnest(string_split(substr(case when is_hex then lower(found) else found end, (k.k + 1)::int, {_W}), '')) as ch from c, unnest(range(0, len(found) - {_W - 1})) k(k)),
-f as (select doc_id, start, is_hex, k, ch, count(*) as n from w group by all),
-h as (select doc_id, start, is_hex, k, {math.log2(_W)!r} - sum(n * log2(n)) / {_W}.0 as bits from f group by all),
-hit as (select doc_id, start as pos, min(k) as lo, max(k) as hi from h where bits >= case when is_hex then {secrets.CLASSES["hex"][1]} else {secrets.CLASSES["key"][1]} end group by 1, 2),
-more as (select doc_id, 3 as rank, 'entropy' as kind, pos + lo as start, pos + hi + {_W} as stop from hit where not exists (select 1 from base where base.doc_id = hit.doc_id and base.start <= pos + lo and pos + hi + {_W} <= base.stop)),
+c as (select doc_id, start, start + len(found) as stop, found, regexp_matches(found, '{_MIXED}') as mixed from ({_ENTROPY[0]}) where regexp_matches(found, '{_MIXED}') or regexp_matches(found, '{secrets.LETTERS}')),
+free as (select kind, doc_id, start, found from (select 'hex' as kind, * exclude (kind) from ({_ENTROPY[1]} union all {_ENTROPY[2]}) where regexp_matches(found, '{_MIXED}') union all select 'letters' as kind, * exclude (kind) from ({_ENTROPY[3]})) t
+  where not exists (select 1 from base where base.doc_id = t.doc_id and base.start <= t.start and t.start + len(t.found) <= base.stop)),
+runs as (select 'key' as kind, doc_id, start, found, start as owner from c where mixed and not regexp_full_match(found, '[0-9a-f]+|[0-9A-F]+')
+  union all select kind, free.doc_id, free.start, free.found, c.start from free join c on c.doc_id = free.doc_id and c.start <= free.start and free.start + len(free.found) <= c.stop where kind = 'hex' or not mixed),
+w as (select doc_id, owner, kind, start, found, k.k as k, unnest(string_split(substr(case when kind = 'hex' then lower(found) else found end, (k.k + 1)::int, {_W}), '')) as ch from runs, unnest(range(0, len(found) - {_W - 1})) k(k)),
+f as (select doc_id, owner, kind, start, found, k, ch, count(*) as n from w group by all),
+h as (select doc_id, owner, kind, start, found, k, {math.log2(_W)!r} - sum(n * log2(n)) / {_W}.0 as bits from f group by all),
+hit as (select doc_id, owner, kind, start, found, min(k) as lo, max(k) as hi from h where bits >= case when kind = 'hex' then {secrets.CLASSES["hex"][1]} else {secrets.CLASSES["key"][1]} end
+  and not regexp_matches(substr(found, (k + 1)::int, {_W}), '{_regex(secrets.PLACEHOLDER)}') and not ({_RULED}) group by all),
+part as (select doc_id, owner, min(case when kind = 'hex' then start else start + lo end) as start, max(case when kind = 'hex' then start + len(found) else start + hi + {_W} end) as stop from hit group by 1, 2),
+more as (select doc_id, 3 as rank, 'entropy' as kind, start, stop from part where not exists (select 1 from base where base.doc_id = part.doc_id and base.start <= part.start and part.stop <= base.stop)),
 every as (select * from base union all select * from more),
 g as (select doc_id, count_if(rank = 0) as n_assign, count_if(rank = 1) as n_access, count_if(rank = 2) as n_hex, count_if(rank = 3) as n_entropy,
   string_agg(case when rank < 3 then kind || ':' || start || ':' || stop end, ',' order by start, rank) as base, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans from every group by 1)

@@ -131,3 +131,24 @@ def test_time_is_linear_in_candidates_and_matches(make):
         kind, first, last = out[1].spans.split(":")  # windows at the ends may fall below the threshold
         assert kind == "entropy" and int(first) < 20 and int(last) > len(long) - 20 and out[2].n_assign == 25_000 * n
     assert spent[1] < 8 * spent[0] + 5, spent
+
+
+def test_equals_sql_on_glued_hidden_and_letter_keys(make):
+    import duckdb
+    import pyarrow as pa
+
+    from codequarry.llm.oracles import ORACLE
+
+    rng = random.Random(41)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHabcdefghijkl0123456789+/", "ab1"]
+    words = ["example", "xxXx", "0123456789", "AbCdEfGh", "dummy", "path", "token=", "AKIA"]
+    piece = lambda: rng.choice(words) if rng.random() < 0.3 else "".join(rng.choice(rng.choice(alphabets)) if rng.random() < 0.1 else x for x in rng.choices(rng.choice(alphabets), k=rng.randint(3, 45)))
+    rows = [(i, "é" + "".join(piece() + rng.choice(["", "", "-", "_", "=", "/", " ", ". "]) for _ in range(rng.randint(1, 9)))) for i in range(1500)]
+    rows += [(10_000 + i, t) for i, t in texts()]
+    got = {r.doc_id: r.asDict() for r in S.scan(make(rows)).collect()}
+    documents = pa.table({"doc_id": [i for i, _ in rows], "text": pa.array([t for _, t in rows], pa.string())})  # noqa: F841 (read by the SQL)
+    want = duckdb.sql(ORACLE["op9_secret_scan"]).to_arrow_table().to_pylist()
+    assert len(want) == len(rows)
+    for row in want:
+        assert got[row["doc_id"]] == {k: row[k] for k in got[row["doc_id"]]}, dict(rows)[row["doc_id"]]
+    assert sum(r["n_entropy"] for r in want) > 500
