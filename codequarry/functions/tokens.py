@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,6 +15,7 @@ from pyspark.sql.types import IntegerType, StringType, StructType
 #: character.  Words are cut every four bytes, other scripts per character.
 TOKEN = r"\s+|[A-Za-z0-9_]{1,4}|[^\sA-Za-z0-9_]"
 _TOKEN = re.compile(r"\s+|[A-Za-z0-9_]{1,4}|[^\sA-Za-z0-9_]")
+_BREAK = re.compile("\n")
 
 
 def count(text: Column) -> Column:
@@ -35,19 +37,19 @@ def cuts(text: str, budget: int) -> Iterator[tuple[int, int, int]]:
     A segment rather ends after a line break, if one lies in its second half.
     No token or no budget, no segment.  Time is linear in the text.
     """
-    spans = [m.span() for m in _TOKEN.finditer(text)]
-    if not spans or budget <= 0:
+    ends = list(accumulate(map(len, _TOKEN.findall(text)), initial=0))  # tokens cover the text
+    if len(ends) == 1 or budget <= 0:
         return
-    breaks = [k for k, (start, end) in enumerate(spans, 1) if "\n" in text[start:end]]
+    count, breaks = len(ends) - 1, [bisect_right(ends, m.start()) for m in _BREAK.finditer(text)]
     first, shared = 0, overlap(budget)
     while True:
-        last = min(first + budget, len(spans))
-        if last < len(spans):
+        last = min(first + budget, count)
+        if last < count:
             at = bisect_right(breaks, last) - 1
             if at >= bisect_left(breaks, first + max(budget // 2, 1)):
                 last = breaks[at]
-        yield spans[first][0], spans[last - 1][1], last - first
-        if last == len(spans):
+        yield ends[first], ends[last], last - first
+        if last == count:
             return
         first = max(last - shared, first + 1)
 
