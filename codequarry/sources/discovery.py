@@ -179,16 +179,23 @@ def of_language(files: DataFrame, language: str) -> DataFrame:
 def select_paths(paths: DataFrame, rules: DataFrame, include_json: str | None = None) -> DataFrame:
     """The relational form, for listings that come as tables.
 
-    ``paths`` has ``path``; ``rules`` has ordinal, scope, regex, negated.  The
-    built-in exclusions come first, then the last matching rule decides.  The
-    rules are few and joined by prefix; a path without rules is one row.
+    ``paths`` has ``path``; ``rules`` has ordinal, scope, regex, negated and, if
+    it likes, dir_only.  As in ``walk``, a path goes when the last rule that
+    matches it, or one of its directories, ignores that one: a negated rule
+    brings nothing back from a directory that stays ignored.  The rules are few
+    and joined by prefix; a path without rules is one row.
     """
-    dirs = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    parts = F.split("path", "/")
+    dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     open_ = paths.where(~F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in EXCLUDED])) | (F.size(dirs) == 0))
-    scoped = F.when(F.col("scope") == "", F.col("path")).when(F.col("path").startswith(F.concat("scope", F.lit("/"))), F.expr("substring(path, length(scope) + 2)"))
-    hits = open_.join(F.broadcast(rules), F.expr("scope = '' or startswith(path, concat(scope, '/'))")).where(F.regexp_like(scoped, F.concat(F.lit("^"), F.col("regex"), F.lit("(/.*)?$"))))
-    last = hits.groupBy("path").agg(F.max_by("negated", "ordinal").alias("negated"))
-    kept = open_.join(last, "path", "left").where("coalesce(negated, true)").select(*paths.columns)
+    rules = rules if "dir_only" in rules.columns else rules.withColumn("dir_only", F.lit(False))
+    levels = open_.select("path").distinct().select("path", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("level"))
+    own = levels.select("path", "level", F.array_join(F.slice(parts, F.lit(1), F.col("level")), "/").alias("own"), (F.col("level") < F.size(parts)).alias("is_dir"))
+    scoped = F.when(F.col("scope") == "", F.col("own")).otherwise(F.expr("substring(own, length(scope) + 2)"))
+    meets = F.expr("(scope = '' or startswith(own, concat(scope, '/'))) and (is_dir or not dir_only)")
+    hits = own.join(F.broadcast(rules), meets).where(F.regexp_like(scoped, F.concat(F.lit(r"(?d)\A(?:"), F.col("regex"), F.lit(r")\z"))))
+    last = hits.groupBy("path", "level").agg(F.max_by("negated", "ordinal").alias("negated"))
+    kept = open_.join(last.where("not negated").select("path").distinct(), "path", "left_anti").select(*paths.columns)
     roots = json_roots(include_json)
     inside = F.lit(False)
     for r in roots:

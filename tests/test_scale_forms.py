@@ -12,7 +12,7 @@ import pytest
 from codequarry import scratch
 from codequarry.functions import tokens
 from codequarry.operators import graph, resolve, vectors
-from codequarry.sources import embedder
+from codequarry.sources import discovery, embedder
 
 
 def _session(master: str, folder: str | None):
@@ -118,3 +118,19 @@ def test_walks_equal_a_search_in_memory(spark):
         got = graph.paths_from(table, spark.createDataFrame([("n0",)], "id string"), depth).collect()
         assert sorted((">".join(r.calls), r.node or "") for r in got) == sorted((c, b or "") for c, b in want)
     assert graph.paths_from(table, spark.createDataFrame([("nowhere",)], "id string"), 8).collect() == []
+
+
+def test_listed_paths_are_those_of_a_walk(spark, tmp_path):
+    lines = {"": ["build/", "f1*.rs", "!f11*.rs", "logs", "!logs/keep.rs", "*.ts", "!sub/"], "sub": ["keep/*.rs", "!build/f2.rs"]}
+    paths = ["sub/build/f11.rs", "sub/build/f2.rs", "a/f11.rs", "a/f12.rs", "f1.rs", "logs/keep.rs", "sub/keep/x.rs", "sub/keep/y/x.rs", "a/build/b/c.rs", "sub/f.ts", "b.rs", "sub/a.rs", "vendor/a.rs", "x/target.rs"]
+    for path in paths:
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).exists() or (tmp_path / path).write_text("")
+    for scope, own in lines.items():
+        (tmp_path / scope / ".gitignore").write_text("\n".join(own))
+    rules = [discovery.parse_ignore(scope, line) for scope, own in lines.items() for line in own]
+    table = spark.createDataFrame([(k, r.scope, r.regex, r.negated, r.dir_only) for k, r in enumerate(rules)], "ordinal int, scope string, regex string, negated boolean, dir_only boolean")
+    got = discovery.select_paths(spark.createDataFrame([(x,) for x in paths], "path string"), table)
+    assert sorted(r.path for r in got.collect()) == list(discovery.walk(str(tmp_path)))
+    plain = discovery.select_paths(spark.createDataFrame([("sub/build/f1116.rs",), ("src/f1116.rs",)], "path string"), table.drop("dir_only").where("ordinal < 3"))
+    assert [r.path for r in plain.collect()] == ["src/f1116.rs"]
