@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from codequarry.functions import ids, vectors
 
-#: Queries that are broadcast at most.
+#: Queries and values of points (rows x dimension) that meet in one cell, about.
 MOST_QUERIES = 4096
+MOST_VALUES = 1 << 22
+#: More than products of unit vectors in doubles can be off.
+SLACK = 1e-9
 #: Payload fields that a manifest row and a stored point must share.
 CHECKED = ("content_hash", "text_hash", "path", "start_line", "end_line", "embedding_model", "embedding_dimension")
 
@@ -33,27 +39,86 @@ def nearest(points: DataFrame, vector: list[float], limit: int, id_column: str =
     return scored.orderBy(F.desc("score"), id_column).limit(limit)
 
 
+def _vectors(column: pa.ChunkedArray, dimension: int) -> np.ndarray:
+    """Rows of doubles; one with a null in it counts as of length 0."""
+    flat = pa.chunked_array(column.chunks, column.type).combine_chunks().flatten()
+    out = np.array(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), dimension)
+    if flat.null_count:
+        out[np.asarray(flat.is_null()).reshape(out.shape).any(axis=1)] = 0
+    return out
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed from the first place to the last: equal rows give
+    equal sums wherever they stand."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+def _best(points: np.ndarray, queries: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, score) of the ``limit`` best points of each query; equal
+    scores in the order of the points.  A matrix product finds the points that
+    can be among the best; their scores are then summed in order."""
+    # of equal points only the first count, so large groups of copies stay small
+    _, same = np.unique(np.ascontiguousarray(points).view(np.dtype((np.void, max(points.itemsize * points.shape[1], 1)))).ravel() if points.shape[1] else np.zeros(len(points)), return_inverse=True)
+    by = np.argsort(same, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(same[by]) > 0])
+    nth = np.arange(len(by)) - np.repeat(first, np.diff(np.r_[first, len(by)]))
+    rows = np.sort(by[nth < limit])
+    points = points[rows]
+    lengths, own = np.sqrt(_dots(points, points)), np.sqrt(_dots(queries, queries))
+    with np.errstate(all="ignore"):
+        unit = np.where(lengths[:, None] > 0, points / lengths[:, None], np.where(np.isnan(lengths)[:, None], np.nan, 0.0))
+        found = []
+        step = max(1, MOST_VALUES // max(len(points), 1))
+        for at in range(0, len(queries), step):
+            q, size = queries[at : at + step], own[at : at + step]
+            near = np.where(size[:, None] > 0, q / size[:, None], np.where(np.isnan(size)[:, None], np.nan, 0.0)) @ unit.T
+            rough = np.where(np.isfinite(near), near, np.inf)
+            least = np.partition(rough, rough.shape[1] - limit, axis=1)[:, rough.shape[1] - limit] if limit < rough.shape[1] else np.full(len(q), -np.inf)
+            who, what = np.nonzero(rough >= np.minimum(least, 2.0)[:, None] - SLACK)
+            for k in range(0, len(who), MOST_VALUES // 64):
+                w, p = who[k : k + MOST_VALUES // 64], what[k : k + MOST_VALUES // 64]
+                scale = lengths[p] * size[w]
+                found.append((w + at, p, np.where((scale > 0) | np.isnan(scale), _dots(points[p], q[w]) / scale, 0.0)))
+    who, what, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((what, -np.where(np.isnan(score), np.inf, score), who))
+    who, what, score = who[order], what[order], score[order]
+    first = np.flatnonzero(np.r_[True, np.diff(who) > 0])
+    kept = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)])) < limit
+    return who[kept], rows[what[kept]], score[kept]
+
+
 def nearest_each(points: DataFrame, queries: DataFrame, limit: int, id_column: str) -> DataFrame:
     """(query_id, id, score, rank) for a table of queries (query_id,
-    query_vector).  Up to ``MOST_QUERIES`` queries are broadcast (the number is
-    checked); more are copied to parts of the points, as many as the session has
-    shuffle partitions, and meet them in a join by dimension and part.  Every
-    task keeps the best of its part before the parts meet."""
+    query_vector), among points of the same dimension.  Parts of the points (at
+    least as many as the session has shuffle partitions) meet blocks of the
+    queries in cells, whose number follows from the counts; every cell keeps
+    the best of its part by a matrix product, exact scores and the order of
+    ids, and then the parts meet."""
     if limit < 1:
         raise ValueError("the number of neighbours must be at least 1")
-    few = queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
-    own = points.select(F.col(id_column).alias("id"), "embedding")
-    same = F.size("embedding") == F.size("query_vector")
-    if few:
-        pairs, part = own.join(F.broadcast(queries), same), F.spark_partition_id()
-    else:
-        parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = queries.withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        pairs = own.withColumn("part", F.pmod(F.hash("id"), F.lit(parts))).join(spread, same & (F.col("part") == F.col("query_part")))
-        part = F.col("part")
-    part = pairs.select("query_id", "id", vectors.cosine(F.col("embedding"), F.col("query_vector")).alias("score"), part.alias("part"))
+    own = points.where("embedding is not null").select(F.col(id_column).alias("id"), "embedding", F.size("embedding").alias("d"))
+    asked = queries.where("query_vector is not null").select("query_id", "query_vector", F.size("query_vector").alias("d"))
+    values, many = own.agg(F.sum(F.col("d").cast("bigint"))).first()[0] or 0, asked.count()
+    parts, blocks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-values // MOST_VALUES)), max(1, -(-many // MOST_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = own.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "query_vector"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    kinds = dict(own.dtypes) | dict(asked.dtypes)
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"query_id": right["query_id"].slice(0, 0), "id": left["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        left = left.take(pc.sort_indices(left["id"], null_placement="at_start"))
+        who, what, score = _best(_vectors(left["embedding"], key[0].as_py()), _vectors(right["query_vector"], key[0].as_py()), limit)
+        return pa.table({"query_id": right["query_id"].take(pa.array(who)), "id": left["id"].take(pa.array(what)), "score": pa.array(score)})
+
+    cell = ["d", "part", "block"]
+    first = own.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(meet, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     order = [F.desc("score"), F.col("id")]
-    first = part.withColumn("r", F.row_number().over(W.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= limit)
     return first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit).select("query_id", "id", "score", "rank")
 
 

@@ -8,9 +8,10 @@ import re
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Window as W, functions as F
 
 from codequarry import scratch
-from codequarry.functions import tokens
+from codequarry.functions import tokens, vectors as vec
 from codequarry.operators import graph, resolve, vectors
 from codequarry.sources import discovery, embedder
 
@@ -99,6 +100,19 @@ def test_many_queries_find_the_same_neighbours(spark, monkeypatch):
     assert len(few) == 9 * 5 + 1
 
 
+def test_neighbours_with_copies_and_odd_vectors(spark):
+    """Ties by id among many copies; lengths of 0; found without pairs as rows."""
+    rng = random.Random(8)
+    rows = [(f"p{k}", [rng.uniform(-1, 1) for _ in range(4)]) for k in range(300)] + [(f"c{k}", [1.0, 2.0, 0.5, -1.0]) for k in range(200)] + [("z1", [0.0] * 4), ("z2", [1.0, None, 1.0, 1.0]), ("e", [])]
+    asked = [(0, [1.0, 2.0, 0.5, -1.0]), (1, [0.0] * 4), (2, rows[5][1]), (3, [])]
+    points, queries = spark.createDataFrame(rows, "id string, embedding array<float>"), spark.createDataFrame(asked, "query_id int, query_vector array<float>")
+    found = vectors.nearest_each(points, queries, 7, "id")
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    plain = points.join(queries, F.size("embedding") == F.size("query_vector")).select("query_id", "id", vec.cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+    plain = plain.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 7")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_walks_equal_a_search_in_memory(spark):
     rng = random.Random(11)
     edges = [(f"e{k}", f"n{rng.randrange(9)}", rng.choice([None, *(f"n{j}" for j in range(9))])) for k in range(22)]
