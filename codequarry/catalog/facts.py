@@ -402,7 +402,10 @@ def embeddable_chunks(spark, sf):
 
 @query("select l_orderkey as o, case when count(*) = 0 then 0.41 else floor(avg(least(1.0, l_discount * 10)) * 100 + 0.5) / 100 end as trust, (floor(avg(least(1.0, l_discount * 10)) * 100 + 0.5) / 100) >= 0.65 as is_sure from lineitem group by 1")
 def path_trust(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(trust.aggregate_score(F.least(F.lit(1.0), F.col("l_discount") * 10)).alias("trust"))
+    """Scores are summed in the order of the table's rows, as its SQL does in one thread."""
+    place = (F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.least(F.lit(1.0), F.col("l_discount") * 10).alias("score"), place[0].alias("file"), place[1].alias("line"))
+    rows = lines.groupBy("o").agg(trust.aggregate_score(F.col("score"), F.col("file"), F.col("line")).alias("trust"))
     return rows.withColumn("is_sure", trust.level(F.col("trust")).isin("high", "medium"))
 
 

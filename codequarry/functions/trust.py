@@ -76,6 +76,16 @@ def with_trust(df, fresh: str = "freshness", confidence: Column | None = None, p
     return df.withColumn("trust_score", value).withColumn("trust_level", level(F.col("trust_score"))).withColumn("trust_factors", factors(F.col(fresh), sure, whole, index))
 
 
-def aggregate_score(scores: Column) -> Column:
-    """Mean of the edges' scores to two places; no edges: that of nothing known."""
-    return F.coalesce(F.floor(F.avg(scores) * 100 + 0.5) / 100, F.lit(0.41))
+def aggregate_score(scores: Column, *order: Column) -> Column:
+    """Mean of the edges' scores to two places; no edges: that of nothing known.
+
+    A sum of doubles depends on its order, and a mean at half a hundredth falls
+    either way.  With ``order`` the scores are summed one by one in that order,
+    so the result is the same however the rows are dealt out."""
+    if not order:
+        mean = F.avg(scores)
+    else:
+        row = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], scores.cast("double").alias("score"))
+        held = F.array_sort(F.collect_list(F.when(scores.isNotNull(), row)))
+        mean = F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda s, x: s + x["score"]) / F.greatest(F.size(held), F.lit(1)))
+    return F.coalesce(F.floor(mean * 100 + 0.5) / 100, F.lit(0.41))

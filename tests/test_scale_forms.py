@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from codequarry import scratch
-from codequarry.functions import tokens, vectors as vec
+from codequarry.functions import tokens, trust, vectors as vec
 from codequarry.operators import graph, resolve, vectors
 from codequarry.sources import discovery, embedder
 
@@ -148,3 +148,18 @@ def test_listed_paths_are_those_of_a_walk(spark, tmp_path):
     assert sorted(r.path for r in got.collect()) == list(discovery.walk(str(tmp_path)))
     plain = discovery.select_paths(spark.createDataFrame([("sub/build/f1116.rs",), ("src/f1116.rs",)], "path string"), table.drop("dir_only").where("ordinal < 3"))
     assert [r.path for r in plain.collect()] == ["src/f1116.rs"]
+
+
+def test_mean_trust_does_not_depend_on_the_tasks(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.randrange(300), rng.choice([None, *(min(1.0, d / 100 * 10) for d in range(11))])) for k in range(1500)]
+    want = {}
+    for _, key, score in rows:
+        total, n = want.get(key, (0.0, 0))
+        want[key] = (total, n) if score is None else (total + score, n + 1)
+    want = {key: int(total / n * 100 + 0.5) / 100 if n else 0.41 for key, (total, n) in want.items()}
+    table = spark.createDataFrame(rows, "line int, key int, score double")
+    for parts in (1, 7):
+        got = table.repartition(parts, "line").groupBy("key").agg(trust.aggregate_score(F.col("score"), F.col("line")).alias("trust"))
+        assert {r.key: r.trust for r in got.collect()} == want
+    assert [r.t for r in table.limit(0).agg(trust.aggregate_score(F.col("score"), F.col("line")).alias("t")).collect()] == [0.41]
