@@ -31,10 +31,12 @@ _MADE = {
 }
 
 
-def _sources(spark, sf, language: str) -> DataFrame:
+def _sources(spark, sf, language: str, parts: int | None = None) -> DataFrame:
+    """The files of a language; their rows are dealt out to ``parts`` tasks first."""
     name, key, path, text, word = _MADE[language]
     fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{k}"), F.col("k")), F.lit("{b}"), F.col("b"))
     rows = table(spark, sf, name).select(F.col(key).cast("string").alias("k"), F.expr(word).alias("b"))
+    rows = rows if parts is None else rows.repartition(parts, "k")
     return rows.select(fill(path).alias("path"), F.lit(language).alias("language"), fill(text).alias("content"))
 
 
@@ -126,9 +128,17 @@ def config_chunks(spark, sf):
 select path, caller, callee_text, callee, case when callee is null then 'unresolved' when callee_text = 'brand' then 'resolved_local_candidate' else 'resolved_exact' end as resolution_status,
   case when callee_text = 'println!' then 0.2 when callee is null then 0.25 when callee_text = 'brand' then 0.75 else 1.0 end::double as confidence from r""")
 def rust_call_facts(spark, sf):
-    """Records to fact tables with ids, and calls resolved inside their files."""
-    files = discovery.file_facts(_sources(spark, sf, "rust"), "r")
-    facts = parser.facts(parser.extract(_sources(spark, sf, "rust")), files, "run", "1")
+    """Records to fact tables with ids, and calls resolved inside their files.
+
+    Each file is parsed once, by as many tasks as shuffles have; what the joins
+    read again is written first, so they know its size (a table of parts is
+    small, the records of its files are not) and broadcast nothing large.
+    """
+    scratch = Scratch(spark, "rust-calls")
+    sources = _sources(spark, sf, "rust", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = scratch.save(discovery.file_facts(sources, "r"), "files")
+    facts = parser.facts(scratch.save(parser.extract(sources).where(F.col("record_kind").isin("symbol", "call")), "records"), files, "run", "1")
+    facts = {kind: scratch.save(facts[kind], kind) for kind in ("symbols", "calls")}
     calls = resolve.callees(facts["calls"].withColumnRenamed("id", "call_id"), facts["symbols"])
     named = facts["symbols"].select(F.col("id").alias("callee_symbol_id"), F.col("qualified_name").alias("callee"))
     rows = calls.join(named, "callee_symbol_id", "left").join(files.select(F.col("id").alias("file_id"), "path"), "file_id")

@@ -163,3 +163,11 @@ def test_mean_trust_does_not_depend_on_the_tasks(spark):
         got = table.repartition(parts, "line").groupBy("key").agg(trust.aggregate_score(F.col("score"), F.col("line")).alias("trust"))
         assert {r.key: r.trust for r in got.collect()} == want
     assert [r.t for r in table.limit(0).agg(trust.aggregate_score(F.col("score"), F.col("line")).alias("t")).collect()] == [0.41]
+
+
+def test_call_facts_parse_each_file_once(spark):
+    """The plan of the resolution reads written records; it parses nothing again."""
+    from codequarry.registry import QUERIES
+
+    plan = QUERIES["rust_call_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "record_kind" not in plan
